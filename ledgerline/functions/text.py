@@ -12,7 +12,7 @@ from ledgerline.functions.columns import ColumnLike, col
 
 Pairs = Sequence[tuple[str, str]]
 
-WHITESPACE = " \t\n\r\x0b\x0c "
+WHITESPACE = " \t\n\r\x0b\x0c\xa0"
 
 
 def strip(c: ColumnLike) -> Column:
