@@ -44,7 +44,7 @@ def asof_last(events: DataFrame, history: DataFrame, key: str, event_time: str,
     h = _history(history, key, history_time, F.struct(rank, F.struct(*fields).alias("f")).alias("r"))
     out = _before(events, h, key, event_time, {"__last": Running("max", F.col("__h.r"))},
                   {"__last": ("max", F.col("__h.r"))})
-    return out.select(*_event_columns(events), *[F.col(f"__last.f.{c}").alias(f"{prefix}{c}") for c in fields])
+    return out.select(*_event_columns(events), *[F.col(f"__last.f.`{c}`").alias(f"{prefix}{c}") for c in fields])
 
 
 def asof_enrich(events: DataFrame, history: DataFrame, key: str, event_time: str, history_time: str,
@@ -63,7 +63,7 @@ def asof_enrich(events: DataFrame, history: DataFrame, key: str, event_time: str
         F.col("__n").alias(f"{prefix}count"),
         years_between_floor_days("__lo", f"__e.{event_time}").alias(f"{prefix}oldest_years"),
         years_between_floor_days("__hi", f"__e.{event_time}").alias(f"{prefix}youngest_years"),
-        *[F.col(f"__last.f.{c}").alias(f"{last_prefix}{c}") for c in fields])
+        *[F.col(f"__last.f.`{c}`").alias(f"{last_prefix}{c}") for c in fields])
 
 
 def nearest_within(events: DataFrame, history: DataFrame, key: str, event_time: str, history_time: str,
@@ -106,7 +106,7 @@ def nearest_within(events: DataFrame, history: DataFrame, key: str, event_time:
     days = F.floor((F.col("__near.p") - at) / F.lit(float(MICROS_PER_DAY)))
     ok = at.isNotNull() & (F.abs(days) < tolerance_days)
     return both.withColumn("__near", near).select(
-        *_event_columns(events), *[F.when(ok, F.col(f"__near.f.{c}")).alias(f"{prefix}{c}") for c in fields])
+        *_event_columns(events), *[F.when(ok, F.col(f"__near.f.`{c}`")).alias(f"{prefix}{c}") for c in fields])
 
 
 def _rank(history_time: str, ordinal: str | Sequence[str], by: str) -> Column:
@@ -117,13 +117,13 @@ def _rank(history_time: str, ordinal: str | Sequence[str], by: str) -> Column:
 
 
 def _event_columns(events: DataFrame) -> list[Column]:
-    return [F.col(f"__e.{c}").alias(c) for c in events.columns]
+    return [F.col(f"__e.`{c}`").alias(c) for c in events.columns]
 
 
 def _events(events: DataFrame, key: str, time: str) -> DataFrame:
     pos = order_position(events, F.col(time))
     return events.select(F.col(key).alias("__key"), F.col(time).alias("__t"), pos.alias("__pos"),
-                         F.lit(0).alias("__tag"), F.struct(*events.columns).alias("__e"))
+                         F.lit(0).alias("__tag"), F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("__e"))
 
 
 def _history(history: DataFrame, key: str, time: str, *payload: Column) -> DataFrame:

@@ -16,18 +16,23 @@ def in_range(df: DataFrame, column: str, start, end) -> DataFrame:
     return df.filter((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
 
 
-def null_cells(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in columns])
+def null_cells(df: DataFrame) -> Column:
+    """Number of empty cells of a row; a NaN is empty too."""
+    def empty(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        return (c.isNull() | F.isnan(c)) if kind in ("double", "float") else c.isNull()
+
+    return reduce(lambda a, b: a + b, [empty(c, k).cast("int") for c, k in df.dtypes])
 
 
 def keep_filled(df: DataFrame, at_least: int = 3) -> DataFrame:
     """Rows with at least this many non-null cells."""
-    return df.dropna(thresh=at_least)
+    return df.filter(F.lit(len(df.columns)) - null_cells(df) >= at_least)
 
 
 def mostly_null(df: DataFrame, more_than: int) -> DataFrame:
     """Rows with more than this many null cells."""
-    return df.filter(null_cells(df.columns) > more_than)
+    return df.filter(null_cells(df) > more_than)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -51,10 +56,14 @@ def duplicates_removed(df: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, columns: Sequence[str], ordinal: str | Sequence[str]) -> DataFrame:
     """First row, in row order, of each set that agrees on the columns.
 
-    The rank filter is applied before the exchange too, so copies of one row never
-    travel to a single task.
+    Copies of one row never travel to a single task: they are folded, or cut to one by
+    the rank filter, before the exchange.
     """
-    w = Window.partitionBy(*columns).orderBy(*names(ordinal))
+    order = names(ordinal)
+    if len(order) == 1 and set(df.columns) == {*columns, *order}:
+        return df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(order[0]).alias(order[0])).select(
+            *[F.col(f"`{c}`") for c in df.columns])
+    w = Window.partitionBy(*columns).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
