@@ -129,11 +129,11 @@ def dependency_violations(df: DataFrame, determinant: str, dependent: str) -> Da
 def rate_per_100k(df: DataFrame, region: str, population: Mapping[str, int],
                   renames: Mapping[str, str] | None = None) -> DataFrame:
     """Rows per region and per 100 000 inhabitants; unknown regions get a null rate."""
-    counts = df.filter(F.col(region).isNotNull()).groupBy(region).agg(F.count(F.lit(1)).alias("n"))
-    if renames:
-        counts = counts.withColumn(region, F.coalesce(lookup(region, renames), region))
+    named = F.coalesce(lookup(region, renames), region) if renames else F.col(region)
+    counts = df.filter(F.col(region).isNotNull()).groupBy(named.alias(region)).agg(F.count(F.lit(1)).alias("n"))
     people = lookup(region, population).cast("long")
-    return counts.select(region, "n", people.alias("population"), (F.lit(100000.0) * F.col("n") / people).alias("rate"))
+    rate = F.try_divide(F.lit(100000.0) * F.col("n"), people)
+    return counts.select(region, "n", people.alias("population"), rate.alias("rate"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> DataFrame:

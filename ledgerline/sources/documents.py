@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ColumnLike, col
+from ledgerline.sources.tables import list_directory
 
 TEXT_EXTENSIONS = (".txt",)
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False,
                    extensions: Sequence[str] = TEXT_EXTENSIONS) -> DataFrame:
-    """One row per file: its path as ``source`` and its whole text.
+    """One row per file of the folders: its path as ``source`` and its whole text.
 
     Files with another extension are an error, raised when they are read; a glob
     leaves them out beforehand.
@@ -23,6 +24,8 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | N
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     paths = [path] if isinstance(path, str) else list(path)
+    if not recursive:
+        paths = [f for p in paths for f in list_directory(spark, p, files_only=True)]
     files = reader.text(paths).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
     extension = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
     problem = F.concat(F.lit("unsupported extension: "), extension, F.lit(" of "), F.col("source"))

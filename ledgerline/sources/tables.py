@@ -21,16 +21,21 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def list_directory(spark: SparkSession, directory: str, files_only: bool = False) -> list[str]:
+    """Full paths of what lies directly in a directory of any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().toString() for s in found if s.isFile() or not files_only)
+
+
 def read_tables(spark: SparkSession, directory: str, schemas: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """Every parquet or CSV table of a directory, by name."""
     schemas = schemas or {}
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    listing = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
     tables = {}
-    for status in listing:
-        name, ext = os.path.splitext(status.getPath().getName())
+    for path in list_directory(spark, directory):
+        name, ext = os.path.splitext(os.path.basename(path))
         if ext in (".parquet", ".csv"):
-            tables[name] = read_table(spark, status.getPath().toString(), schemas.get(name))
+            tables[name] = read_table(spark, path, schemas.get(name))
     return tables
 
 
