@@ -20,13 +20,13 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str | N
     Files with another extension are an error, raised when they are read; a glob
     leaves them out beforehand.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     paths = [path] if isinstance(path, str) else list(path)
     if not recursive:
         paths = [f for p in paths for f in list_directory(spark, p, files_only=True)]
-    files = reader.text(paths).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
     extension = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
     problem = F.concat(F.lit("unsupported extension: "), extension, F.lit(" of "), F.col("source"))
     return files.withColumn("text", F.when(extension.isin(list(extensions)), F.col("text")).otherwise(F.raise_error(problem)))
