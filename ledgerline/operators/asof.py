@@ -26,7 +26,7 @@ def asof_history(events: DataFrame, history: DataFrame, key: str, event_time: st
     merged = {"__n": ("sum", F.lit(1)), "__lo": ("min", F.col("__h.t")), "__hi": ("max", F.col("__h.t"))}
     out = _before(events, h, key, event_time, values, merged)
     return out.select(
-        *_event_columns(events),
+        *_event_columns(events, key),
         F.col("__n").alias(f"{prefix}count"),
         years_between_floor_days("__lo", f"__e.{event_time}").alias(f"{prefix}oldest_years"),
         years_between_floor_days("__hi", f"__e.{event_time}").alias(f"{prefix}youngest_years"))
@@ -44,7 +44,7 @@ def asof_last(events: DataFrame, history: DataFrame, key: str, event_time: str,
     h = _history(history, key, history_time, F.struct(rank, F.struct(*fields).alias("f")).alias("r"))
     out = _before(events, h, key, event_time, {"__last": Running("max", F.col("__h.r"))},
                   {"__last": ("max", F.col("__h.r"))})
-    return out.select(*_event_columns(events), *[F.col(f"__last.f.`{c}`").alias(f"{prefix}{c}") for c in fields])
+    return out.select(*_event_columns(events, key), *[F.col(f"__last.f.`{c}`").alias(f"{prefix}{c}") for c in fields])
 
 
 def asof_enrich(events: DataFrame, history: DataFrame, key: str, event_time: str, history_time: str,
@@ -59,7 +59,7 @@ def asof_enrich(events: DataFrame, history: DataFrame, key: str, event_time: str
     merged = {"__n": ("sum", F.lit(1)), "__lo": ("min", t), "__hi": ("max", t), "__last": ("max", r)}
     out = _before(events, h, key, event_time, values, merged)
     return out.select(
-        *_event_columns(events),
+        *_event_columns(events, key),
         F.col("__n").alias(f"{prefix}count"),
         years_between_floor_days("__lo", f"__e.{event_time}").alias(f"{prefix}oldest_years"),
         years_between_floor_days("__hi", f"__e.{event_time}").alias(f"{prefix}youngest_years"),
@@ -106,7 +106,7 @@ def nearest_within(events: DataFrame, history: DataFrame, key: str, event_time:
     days = F.floor((F.col("__near.p") - at) / F.lit(float(MICROS_PER_DAY)))
     ok = at.isNotNull() & (F.abs(days) < tolerance_days)
     return both.withColumn("__near", near).select(
-        *_event_columns(events), *[F.when(ok, F.col(f"__near.f.`{c}`")).alias(f"{prefix}{c}") for c in fields])
+        *_event_columns(events, key), *[F.when(ok, F.col(f"__near.f.`{c}`")).alias(f"{prefix}{c}") for c in fields])
 
 
 def _rank(history_time: str, ordinal: str | Sequence[str], by: str) -> Column:
@@ -116,8 +116,9 @@ def _rank(history_time: str, ordinal: str | Sequence[str], by: str) -> Column:
     return (order if by == "ordinal" else F.struct(F.col(history_time), order)).alias("o")
 
 
-def _event_columns(events: DataFrame) -> list[Column]:
-    return [F.col(f"__e.`{c}`").alias(c) for c in events.columns]
+def _event_columns(events: DataFrame, key: str) -> list[Column]:
+    """The events as they were; the key keeps the partitioning it was shuffled by."""
+    return [F.col("__key").alias(c) if c == key else F.col(f"__e.`{c}`").alias(c) for c in events.columns]
 
 
 def _events(events: DataFrame, key: str, time: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.sources.shared import spread
+
 # Split first on blank lines, then lines, then spaces, then characters.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -36,7 +38,7 @@ def recursive_chunks(documents: DataFrame, size: int, overlap: int, text: str =
             yield texts.map(lambda t: split_text(t, size, overlap, length) if t else [])
 
     others = [c for c in documents.columns if c != text]
-    return documents.select(*others, F.posexplode(split(text)).alias(number, out))
+    return spread(documents).select(*others, F.posexplode(split(text)).alias(number, out))
 
 
 def split_text(text: str, size: int, overlap: int, length: Callable[[str], int] = len,
@@ -91,11 +93,12 @@ def window_chunks(documents: DataFrame, size: int, overlap: int, text: str = "te
     if step <= 0:
         raise ValueError("the overlap must be smaller than the size")
     others = [c for c in documents.columns if c != text]
-    words = F.filter(F.split(F.col(text), r"[ \t\r\n\f]+"), lambda w: w != "")
-    n = F.size("__w")
+    blanks = " \t\r\n\f"
+    trimmed = F.trim(F.col(text), F.lit(blanks))
+    words = F.split(trimmed, f"[{blanks}]+")
     # The last window starts where the words after the previous one begin to be new.
-    last = F.greatest(F.ceil((n - overlap) / step).cast("int") - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), last)
-    return (documents.select(*others, words.alias("__w")).filter(n > 0)
-            .select(*others, "__w", F.explode(starts).alias(number))
-            .select(*others, number, F.array_join(F.slice("__w", F.col(number) * step + 1, size), " ").alias(out)))
+    last = F.greatest(F.ceil((F.size("__w") - overlap) / step).cast("int") - 1, F.lit(0))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("__w", i * step + 1, size), " "))
+    # The windows are cut in one expression, so the word list is not copied per window.
+    return (spread(documents).filter(trimmed != "").select(*others, words.alias("__w"))
+            .select(*others, F.posexplode(windows).alias(number, out)))

@@ -85,18 +85,42 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str, right_key: str) ->
 
 
 def merge_deliveries(first: DataFrame, second: DataFrame, key: str, suffixes: tuple[str, str] = ("_1", "_2")) -> DataFrame:
-    """Inner join of two deliveries; shared columns get suffixes."""
+    """Inner join of two deliveries; shared columns get suffixes.
+
+    For a key that repeats on both sides use :func:`pair_agreement`, which counts the
+    pairs without making them.
+    """
     shared = {c for c in first.columns if c in second.columns and c != key}
     a = first.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     b = second.withColumnsRenamed({c: c + suffixes[1] for c in shared})
     return a.join(b, key, "inner")
 
 
-def outer_chain(tables: Sequence[tuple[DataFrame, str]], match_null_keys: bool = True) -> DataFrame:
+def pair_agreement(first: DataFrame, second: DataFrame, key: str, checks: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Numbers of row pairs of equal key that also agree on the fields of each check.
+
+    ``checks`` maps an output to {field of first: field of second}; null agrees with
+    nothing. Rows are counted per key and field values on both sides and the counts
+    multiplied, so a key with many rows costs as much as its distinct values.
+    """
+    found = []
+    for name, fields in checks.items():
+        sides = []
+        for df, cols, n in ((first, [key, *fields], "n1"), (second, [key, *fields.values()], "n2")):
+            same = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+            sides.append(same.groupBy(*same.columns).agg(F.count(F.lit(1)).alias(n)))
+        pairs = sides[0].join(sides[1], [f"c{i}" for i in range(len(fields) + 1)])
+        total = pairs.agg(F.coalesce(F.sum(F.col("n1") * F.col("n2")), F.lit(0)).alias("pairs"))
+        found.append(total.select(F.lit(name).alias("check"), "pairs"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def outer_chain(tables: Sequence[tuple[DataFrame, str]], match_null_keys: bool = False) -> DataFrame:
     """Full outer join of several tables, all on the first one's key column.
 
     Columns that collide are dropped from both sides. Rows from a later table keep
-    their own key; the first key stays null for them.
+    their own key; the first key stays null for them. Null keys match nothing unless
+    asked for, when each pair of null-keyed rows is a result row.
     """
     merged, key = tables[0]
     for table, other_key in tables[1:]:

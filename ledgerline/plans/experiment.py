@@ -17,7 +17,7 @@ from ledgerline.operators import models as md
 from ledgerline.operators.features import (
     Features, apply_features, feature_names, fit_features, model_inputs, plan_features,
 )
-from ledgerline.sources.shared import materialize
+from ledgerline.sources.shared import stored
 
 
 @dataclass
@@ -68,11 +68,14 @@ class Folded:
 
 def fold_inputs(df: DataFrame, label: str, ordinal: str, numeric: Sequence[str], categorical: Sequence[str],
                 classifier: str, folds: int = 5) -> Folded:
-    """Model inputs cut into stratified folds, computed once for all the fits to come."""
-    spec = plan_features(df, numeric, categorical, md.is_scaled(classifier))
-    labelled = md.with_label(df, label).select(ordinal, md.LABEL, *spec.columns)
-    folded = ev.stratified_folds(model_inputs(labelled, spec), md.LABEL, ordinal, folds)
-    rows = materialize(folded)
+    """Model inputs cut into stratified folds, computed once for all the fits to come.
+
+    The inputs are stored first, so finding gaps, classes and ranks does not derive
+    them again.
+    """
+    base = stored(md.with_label(df, label).select(ordinal, md.LABEL, *numeric, *categorical))
+    spec = plan_features(base, numeric, categorical, md.is_scaled(classifier))
+    rows = stored(ev.stratified_folds(model_inputs(base, spec), md.LABEL, ordinal, folds))
     y = F.col(md.LABEL) == 1
     found = rows.groupBy("fold").agg(F.count_if(~y).alias("neg"), F.count_if(y).alias("pos")).collect()
     return Folded(rows, spec, {r["fold"]: (r["neg"], r["pos"]) for r in found})
@@ -101,7 +104,7 @@ def search(data: Folded, classifier: str, grid: Mapping[str, list] | None = None
     def one_fold(fold: int) -> DataFrame:
         train_part = F.col("fold") != fold
         preparation = fit_features(data.rows.filter(train_part), data.spec)
-        prepared = materialize(apply_features(preparation, data.rows).select(md.LABEL, "fold", "features"))
+        prepared = stored(apply_features(preparation, data.rows).select(md.LABEL, "fold", "features"))
         weight, total = md.weight_column(*data.train_counts(fold), scheme)
         train = prepared.filter(train_part).withColumn(md.WEIGHT, weight)
         test = prepared.filter(~train_part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import dates, fixed_values as fixed, text, values
 from ledgerline.operators import asof, link, rows
 from ledgerline.operators.profile import Out, entity_profile
+from ledgerline.sources.shared import stored
 from ledgerline.sources.tables import load_delivery, with_row_order
 
 KEY, ROW = "entity_id", "row_no"
@@ -254,8 +255,12 @@ def coverage(entities: DataFrame, tables: Mapping[str, DataFrame | None]) -> Dat
 
 
 def run(tables: Mapping[str, DataFrame], number: int) -> dict[str, DataFrame]:
-    """Everything from the raw tables of a delivery: linked ledger, entity table, coverage."""
-    loaded = load_delivery(tables, number)
-    ledger = linked_ledger(loaded, number)
-    entities = entity_table(ledger, number)
+    """Everything from the raw tables of a delivery: linked ledger, entity table, coverage.
+
+    The linked ledger is stored, since each kind of profile column reads it again; so
+    is the entity table, which every registry is compared with.
+    """
+    loaded = numbered(load_delivery(tables, number))
+    ledger = stored(linked_ledger(loaded, number))
+    entities = stored(entity_table(ledger, number))
     return {"ledger": ledger, "entities": entities, "coverage": coverage(entities, loaded)}

@@ -107,6 +107,17 @@ def delivery_compare(t):
                     F.count_if(F.col("d_2").isNull()).alias("undated"))
 
 
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderstatus AS s, CASE WHEN o_totalprice > 200000 THEN year(o_orderdate) END AS y FROM orders),
+ j AS (SELECT x.s = z.s AS same_s, x.y = z.y AS same_y FROM a x JOIN a z ON x.k = z.k)
+SELECT 'matched' AS "check", count(*) AS pairs FROM j UNION ALL SELECT 'same_status', count(*) FILTER (same_s) FROM j
+UNION ALL SELECT 'same_year', count(*) FILTER (same_y) FROM j UNION ALL SELECT 'same_both', count(*) FILTER (same_s AND same_y) FROM j""")
+def delivery_pairs(t):
+    rows = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"),
+                           F.when(F.col("o_totalprice") > 200000, F.year("o_orderdate")).alias("y"))
+    return link.pair_agreement(rows, rows, "k", {"matched": {}, "same_status": {"s": "s"}, "same_year": {"y": "y"},
+                                                 "same_both": {"s": "s", "y": "y"}})
+
+
 @query("""SELECT c_custkey, c_name, s_suppkey, s_name, n_nationkey, n_name
 FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000) c
 FULL JOIN (SELECT s_suppkey, s_name FROM supplier) s ON c_custkey = s_suppkey
@@ -115,8 +126,7 @@ def outer_chain(t):
     customers = t.customer.filter(F.col("c_acctbal") > 5000).select("c_custkey", "c_name", F.lit("c").alias("origin"))
     suppliers = t.supplier.select("s_suppkey", "s_name", F.lit("s").alias("origin"))
     nations = t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
-    merged = link.outer_chain([(customers, "c_custkey"), (suppliers, "s_suppkey"), (nations, "n_nationkey")],
-                              match_null_keys=False)
+    merged = link.outer_chain([(customers, "c_custkey"), (suppliers, "s_suppkey"), (nations, "n_nationkey")])
     return merged.select("c_custkey", "c_name", "s_suppkey", "s_name", F.col("n_nationkey").cast("int").alias("n_nationkey"),
                          "n_name")
 

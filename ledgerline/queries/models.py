@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import evaluation as ev
 from ledgerline.operators import models as md
+from ledgerline.operators.features import most_frequent_fill as fill_most_frequent
 from ledgerline.plans import experiment as ex
 from ledgerline.queries.registry import Tables, query
+from ledgerline.sources.shared import spread
 
 NUMERIC = ["n_chars", "n_lines", "n_words", "n_digits", "n_marks"]
 CATEGORICAL = ["lang"]
 
 
+COUNTED = {"n_lines": "\n", "n_words": " ", "n_digits": "0123456789", "n_marks": ".,;:!?"}
+
+
+def occurrences(text: Column, chars: str) -> Column:
+    """How often any of the characters occurs in a text."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
 def labelled_documents(t: Tables) -> DataFrame:
     """Counts over each labelled text; the length is missing for one language."""
     text = F.col("text")
     joined = t.labels.join(t.documents, "doc_id")
-    return joined.select(
+    return spread(joined).select(
         "doc_id", "quality", "toxic", F.when(F.col("lang") != "de", F.col("n_chars")).alias("n_chars"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("n_lines"),
-        F.size(F.split(text, r"\s+")).alias("n_words"),
-        F.length(F.regexp_replace(text, "[^0-9]", "")).alias("n_digits"),
-        F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")).alias("n_marks"),
+        *[occurrences(text, chars).alias(n) for n, chars in COUNTED.items()],
         F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"))
 
 
@@ -41,6 +48,14 @@ def logistic_odds(t):
     return rounded(fitted.odds_ratios(t.labels.sparkSession))
 
 
+@query("""WITH f AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN lang END AS lang FROM labels JOIN documents USING (doc_id)),
+ m AS (SELECT lang FROM f WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)
+SELECT doc_id, coalesce(f.lang, m.lang) AS lang FROM f, m""")
+def most_frequent_fill(t):
+    inputs = t.labels.join(t.documents, "doc_id").select("doc_id", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"))
+    return fill_most_frequent(inputs, ["lang"])
+
+
 @query()
 def forest_importance(t):
     fitted = ex.fit(folded(t, "RandomForest"), "RandomForest", {"n_estimators": 20, "max_depth": 5}, "balanced")

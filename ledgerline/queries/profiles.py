@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.asof import asof_history
+from ledgerline.operators.link import lookup_unique, with_membership
 from ledgerline.operators.profile import Out, entity_profile as build_profile, one_aggregate
+from ledgerline.queries.link import good_customers, urgent_orders
 from ledgerline.queries.registry import Tables, query
+from ledgerline.sources.shared import stored
 
 OUTPUTS = [
     Out("frequent_type", "event_type", "mode"),
@@ -70,3 +74,32 @@ def entity_profile(t):
 UNION ALL SELECT o_custkey, NULL FROM orders GROUP BY o_custkey HAVING count(*) = 1""")
 def adhoc_aggregate(t):
     return one_aggregate(t.orders, "o_custkey", "o_totalprice", "nth_last_filled", "second_last_price", "o_orderkey", 2)
+
+
+LINKED_OUTPUTS = [
+    Out("status", "o_orderstatus", "last_filled"), Out("priority", "o_orderpriority", "mode"), Out("orders", "o_orderdate", "count"),
+    Out("mean_gap_days", "o_orderdate", "mean_gap_days"), Out("segment", "segment", "last_filled"), Out("urgent", "urgent", "max"),
+    Out("urgent_before", "urgent_count", "last_filled"), Out("second_last_price", "o_totalprice", "nth_last_filled", 2),
+]
+
+
+@query("""WITH u AS (SELECT o_custkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000),
+ c AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 2000),
+ b AS (SELECT o_orderkey, (SELECT count(*) FROM u WHERE u.o_custkey = o.o_custkey AND u.o_orderdate < o.o_orderdate) AS before FROM orders o),
+ r AS (SELECT o.*, before, row_number() OVER (PARTITION BY o_custkey ORDER BY o.o_orderkey DESC) AS rn FROM orders o JOIN b ON b.o_orderkey = o.o_orderkey),
+ m AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS rn
+  FROM orders GROUP BY o_custkey, o_orderpriority),
+ g AS (SELECT o_custkey, count(*) AS n, CASE WHEN count(*) > 1 THEN (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 86400000000.0
+  / (count(*) - 1) END AS gap FROM orders GROUP BY o_custkey)
+SELECT g.o_custkey, r1.o_orderstatus AS status, m.o_orderpriority AS priority, n AS orders, round(gap, 6) AS mean_gap_days, c_mktsegment AS segment,
+ (g.o_custkey IN (SELECT o_custkey FROM u))::INT AS urgent, r1.before AS urgent_before, r2.o_totalprice AS second_last_price
+FROM g JOIN r r1 ON r1.o_custkey = g.o_custkey AND r1.rn = 1 LEFT JOIN r r2 ON r2.o_custkey = g.o_custkey AND r2.rn = 2
+JOIN m ON m.o_custkey = g.o_custkey AND m.rn = 1 LEFT JOIN c ON c_custkey = g.o_custkey""")
+def linked_profile(t):
+    """Orders linked with a lookup, a membership flag and earlier urgent orders, then one row per customer."""
+    urgent = urgent_orders(t).select("o_custkey", F.col("o_orderdate").alias("urgent_date"))
+    linked = asof_history(t.orders, urgent, "o_custkey", "o_orderdate", "urgent_date", "urgent_")
+    linked = lookup_unique(linked, good_customers(t), "o_custkey", "c_custkey", {"segment": "c_mktsegment"})
+    linked = stored(with_membership(linked, urgent, "o_custkey", "o_custkey", "urgent"))
+    profile = build_profile(linked, "o_custkey", "o_orderkey", LINKED_OUTPUTS)
+    return profile.withColumn("mean_gap_days", F.round("mean_gap_days", 6))

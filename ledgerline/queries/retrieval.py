@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 
-from pyspark.sql import DataFrame
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed_values as fixed
@@ -90,8 +92,6 @@ def history_all_turns(t):
 
 def template_sql(template: str, values: dict[str, str]) -> str:
     """Template as a concatenation, with SQL expressions in its places."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", template)
     return " || ".join(values[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
 
@@ -115,8 +115,6 @@ def history_prompts(t):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY source""")
 def context_texts(t):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     ranked = t.documents.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3)
     return prompts.contexts(ranked, "source", "text")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed_values as fixed
+from ledgerline.operators.prompts import source_report
 from ledgerline.queries.cleaning import PROVIDERS, _LIST_CLASS, parts_sql, parts_with
 from ledgerline.queries.registry import query
 from ledgerline.sources.documents import HTML_BREAKS, HTML_ENTITIES, HTML_HIDDEN, HTML_TAG, html_text
-from ledgerline.sources.shared import stored
+from ledgerline.sources.shared import spread, stored
 from ledgerline.sources.tables import provider_table
 
 
@@ -42,12 +43,10 @@ def html_sql(c: str) -> str:
 
 @query(f"SELECT page_id, url, {html_sql('html')} AS text FROM pages")
 def html_page_text(t):
-    return t.pages.select("page_id", "url", html_text("html").alias("text"))
+    return spread(t.pages).select("page_id", "url", html_text("html").alias("text"))
 
 
 @query(f"SELECT doc_id, coalesce(CASE WHEN lang <> 'en' THEN source END, '{fixed.SOURCE_UNKNOWN}') AS source, substr(text, 1, 512) AS snippet FROM documents")
 def document_snippets(t):
-    from ledgerline.operators.prompts import source_report
-
     ranked = t.documents.select("doc_id", F.lit(1).alias("rank"), F.when(F.col("lang") != "en", F.col("source")).alias("source"), "text")
     return source_report(ranked, "doc_id", "text").drop("rank")

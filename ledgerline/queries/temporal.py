@@ -42,6 +42,16 @@ def asof_last_record(t):
     return out.select("anchor", "user_id", "last_past", "last_past_value")
 
 
+@query(f"""WITH {A_SQL.format("view")}, j AS (SELECT anchor, a.user_id, count(past) OVER (PARTITION BY anchor) AS n, past,
+ row_number() OVER (PARTITION BY anchor ORDER BY past DESC NULLS LAST) AS rn
+ FROM a LEFT JOIN h ON h.user_id = a.user_id AND t < at_time)
+SELECT anchor, user_id, n AS history_count, past AS last_past FROM j WHERE rn = 1""")
+def asof_enrich(t):
+    out = asof.asof_enrich(events_of(t, "purchase", "anchor", "at"), events_of(t, "view", "past", "t"), "user_id", "at", "t",
+                           ["past"], "past")
+    return out.select("anchor", "user_id", "history_count", "last_past")
+
+
 @query(f"""WITH {A_SQL.format("click")}, j AS (SELECT anchor, a.user_id, past, past_value,
  row_number() OVER (PARTITION BY anchor ORDER BY t DESC NULLS LAST, past DESC NULLS LAST) AS rn
  FROM a LEFT JOIN h ON h.user_id = a.user_id AND t < at_time)

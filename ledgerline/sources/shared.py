@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# An input that fills less than this per core is spread before heavy work on its rows.
+SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names; a temporary one only in local mode."""
@@ -22,16 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and continue from reliable storage, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, fmt: str = "parquet") -> DataFrame:
-    """Write to a new place under the shared folder and read back, keeping columnar scans."""
+    """Write to a new place under the shared folder and read back.
+
+    The result is computed once, lost executors cost no recomputation of it, and
+    later reads take only the columns they need.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.format(fmt).save(path)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input over all cores; one too large for that has enough splits already.
+
+    The size is the planner's estimate, so nothing runs to find it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * SPREAD_BYTES_PER_CORE else df

@@ -84,11 +84,11 @@ def test_counterparts(spark):
 def test_outer_chain(spark):
     a = spark.createDataFrame([("x", 1, "p"), (None, 2, "p")], "CEDULA string, va int, shared string")
     b = spark.createDataFrame([("x", 5, "q"), ("y", 6, "q"), (None, 7, "q")], "cedula2 string, vb int, shared string")
-    merged = link.outer_chain([(a, "CEDULA"), (b, "cedula2")])
+    merged = link.outer_chain([(a, "CEDULA"), (b, "cedula2")], match_null_keys=True)
     assert sorted(merged.columns) == ["CEDULA", "cedula2", "va", "vb"]
     got = set(tuples(merged.select("CEDULA", "va", "cedula2", "vb")))
     assert got == {("x", 1, "x", 5), (None, None, "y", 6), (None, 2, None, 7)}
-    same = link.outer_chain([(a.drop("shared"), "CEDULA"), (b.drop("shared").withColumnRenamed("cedula2", "CEDULA"), "CEDULA")], False)
+    same = link.outer_chain([(a.drop("shared"), "CEDULA"), (b.drop("shared").withColumnRenamed("cedula2", "CEDULA"), "CEDULA")])
     assert same.count() == 4 and same.columns.count("CEDULA") == 1
 
 
