@@ -69,26 +69,38 @@ def entity_profile(df: DataFrame, key: str, ordinal: str | Sequence[str], output
     rows = df.filter(F.col(key).isNotNull())
     order = order_value(ordinal)
     folds = [FOLDS[o.how](F.col(f"`{o.column}`"), order).alias(o.name) for o in outputs if o.how in FOLDS]
-    parts = [rows.groupBy(key).agg(*folds)] if folds else []
+    by_value = [o for o in outputs if o.how == "nth_largest"]
+    poisoned = [o for o in by_value if o.nulls == "poison"]
+    folds += [_null_count(c).alias(f"__nulls_{c}") for c in dict.fromkeys(o.column for o in poisoned)]
+    # Every entity is in the first part; the others come from filtered rows.
+    parts = [rows.groupBy(key).agg(*folds) if folds else rows.select(key).distinct()]
     modes = [o for o in outputs if o.how == "mode"]
     if modes:
         parts.append(modes_per_key(rows, key, {o.name: o.column for o in modes}))
     by_order = [o for o in outputs if o.how == "nth_last_filled"]
     if by_order:
-        parts.append(_nth_last(rows, key, names(ordinal), by_order))
-    for nulls in ("ignore", "poison"):
-        by_value = [o for o in outputs if o.how == "nth_largest" and o.nulls == nulls]
-        if by_value:
-            parts.append(_nth_largest(rows, key, by_value, nulls))
-    # The first part has every key, unless it comes from filtered rows.
-    if not folds:
-        parts.insert(0, rows.select(key).distinct())
+        parts.append(_nth(rows, key, by_order, [F.desc(o) for o in names(ordinal)], names(ordinal)))
+    if by_value:
+        # A poisoned rank moves up by the number of nulls, so all ranks to n are picked.
+        ranks = [o for o in by_value if o.nulls != "poison"]
+        ranks += [Out(f"__top_{o.name}_{r}", o.column, o.how, r) for o in poisoned for r in range(1, o.n + 1)]
+        parts.append(_nth(rows, key, ranks))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.join(part, key, "left")
+    merged = merged.withColumns({o.name: _poisoned(o) for o in poisoned})
     return merged.select(key, *[F.col(f"`{o.name}`") for o in outputs])
 
 
+def _null_count(column: str) -> Column:
+    return F.count(F.lit(1)) - F.count(F.col(f"`{column}`"))
+
+
+def _poisoned(o: Out) -> Column:
+    nulls = F.col(f"`__nulls_{o.column}`")
+    return F.coalesce(*[F.when(nulls == o.n - r, F.col(f"`__top_{o.name}_{r}`")) for r in range(1, o.n + 1)])
+
+
 def one_aggregate(df: DataFrame, key: str, column: str, how: str, out: str, ordinal: str | Sequence[str], n: int = 1,
                   nulls: str = "ignore") -> DataFrame:
     """A single aggregate per key, chosen by name."""
@@ -109,27 +121,12 @@ def modes_per_key(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame
     return counted.groupBy(key).agg(*best)
 
 
-def _nth_last(df: DataFrame, key: str, ordinal: list[str], outputs: list[Out]) -> DataFrame:
+def _nth(df: DataFrame, key: str, outputs: list[Out], sort: list[Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Values at given ranks per key: by the sort columns, or by the values from the largest down."""
     columns = list(dict.fromkeys(o.column for o in outputs))
-    long = _long(df, key, columns, ordinal).filter(_filled(len(columns)))
-    sort = [F.desc(o) for o in ordinal]
-    return _pick(long, key, columns, sort, outputs)
-
-
-def _nth_largest(df: DataFrame, key: str, outputs: list[Out], nulls: str) -> DataFrame:
-    columns = list(dict.fromkeys(o.column for o in outputs))
-    long = _long(df, key, columns)
-    if nulls == "ignore":
-        long = long.filter(_filled(len(columns)))
+    long = _long(df, key, columns, keep).filter(_filled(len(columns)))
     # Only the slot's own value is set, so sorting by all of them sorts by it.
-    sort = [F.desc_nulls_last(v) for v in _values(columns)]
-    if nulls == "poison":
-        sort = [_filled(len(columns)).cast("int").asc(), *sort]
-    return _pick(long, key, columns, sort, outputs)
-
-
-def _pick(long: DataFrame, key: str, columns: list[str], sort: list[Column], outputs: list[Out]) -> DataFrame:
-    w = Window.partitionBy(key, "slot").orderBy(*sort)
+    w = Window.partitionBy(key, "slot").orderBy(*(sort or [F.desc(v) for v in _values(columns)]))
     ranked = long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(o.n for o in outputs))
 
     def at(o: Out) -> Column:
