@@ -54,7 +54,7 @@ def build_classifier(name: str, params: Mapping, total_weight: float, seed: int
     if name in ("LogisticRegression", "SVM"):
         penalty = 1.0 / (params.get("C", 1.0) * total_weight)
         if name == "SVM":
-            return LinearSVC(**common, regParam=penalty, maxIter=100, standardization=False)
+            return LinearSVC(**common, regParam=penalty, maxIter=params.get("iterations", 100), standardization=False)
         return LogisticRegression(**common, regParam=penalty, elasticNetParam=0.0, maxIter=1000, standardization=False)
     depth = params.get("max_depth", 5) or DEEPEST
     if name in ("XGBoost", "HistGradientBoosting"):

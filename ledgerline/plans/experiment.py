@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import evaluation as ev
 from ledgerline.operators import models as md
+from ledgerline.operators import stats
 from ledgerline.operators.features import (
-    Features, apply_features, feature_names, fit_features, model_inputs, plan_features,
+    Features, apply_features, encode_inputs, feature_names, fit_features, model_inputs, plan_features,
 )
 from ledgerline.sources.shared import stored
+from ledgerline.sources.spec import Experiment
 
 
 @dataclass
@@ -166,3 +168,35 @@ def average_results(results: DataFrame) -> DataFrame:
     """Mean and deviation over folds of every metric of every parameter set."""
     return results.groupBy("param_id", "params", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def run(table: DataFrame, spec: Experiment, ordinal: str, classifier: str = "RandomForest", criteria: str = "roc_auc",
+        class_weights: bool = True, grid: Mapping[str, list] | None = None, repeats: int = 10) -> dict:
+    """A whole experiment on an entity table; every entry but ``params`` and ``rules`` is a DataFrame."""
+    spark = table.sparkSession
+    df, numeric, categorical = encode_inputs(table, spec.num_features, spec.cat_features)
+    inputs = list(dict.fromkeys(numeric + categorical))
+    df = stored(md.with_label(df, spec.target).select(ordinal, *inputs, F.col(md.LABEL).cast("int").alias("label")))
+    out: dict = {
+        "check": stats.pattern_check(df, inputs, "label"), "conflicts": stats.label_conflicts(df, inputs, "label"),
+        "conflict_rows": stats.conflict_rows(df, inputs, "label"), "fingerprint": stats.fingerprint(df, [*inputs, "label"]),
+        "balance": stats.class_balance(df, "label"),
+        "distributions": {c: stats.class_distribution(df, c, "label") for c in inputs}}
+    scheme = md.default_scheme(classifier) if class_weights else None
+    data = fold_inputs(df, "label", ordinal, numeric, categorical, classifier)
+    results = stored(search(data, classifier, grid, scheme, spec.seed))
+    params = best_params(results, criteria)
+    fitted = fit(data, classifier, params, scheme, seed=spec.seed)
+    scores = stored(out_of_fold(data, classifier, params, scheme, spec.seed))
+    threshold = md.decision_threshold(classifier)
+    out |= {"results": results, "ranking": ev.rank_results(results, criteria), "params": params, "scores": scores,
+            "metrics": ev.metrics(scores, md.SCORE, md.LABEL, threshold), "confusion": ev.confusion(scores, md.SCORE, md.LABEL, threshold),
+            "curves": ev.curves(scores, md.SCORE, md.LABEL), "log": flatten_results(results, classifier)}
+    if classifier == "LogisticRegression":
+        out["odds_ratios"] = fitted.odds_ratios(spark)
+    if classifier == "DecisionTree":
+        out["rules"] = fitted.rules()
+    if classifier == "RandomForest":
+        out["importances"] = fitted.importances(spark)
+        out["permutation"] = permutation_importance(data, fitted, ordinal, criteria, repeats, spec.seed)
+    return out

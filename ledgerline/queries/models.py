@@ -78,7 +78,7 @@ def boosted_metrics(t):
 
 @query()
 def svm_metrics(t):
-    oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1})
+    oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1, "iterations": 20})
     return ev.metrics(oof, md.SCORE, md.LABEL, md.decision_threshold("SVM"))
 
 

@@ -162,3 +162,20 @@ def test_weights_and_names():
     assert md.weight_column(30, 10, "pos_weight")[1] == 60 and md.weight_column(30, 10, "balanced")[1] == 40
     assert md.build_classifier("RandomForest", {"max_depth": None, "min_samples_split": 10}, 1).getMaxDepth() == 30
     assert math.isclose(md.build_classifier("LogisticRegression", {"C": 0.1}, 40).getRegParam(), 0.25)
+
+
+def test_whole_experiment(spark):
+    from ledgerline.sources.spec import Experiment
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["Masculino", "Femenino"]), rnd.choice(["SI", "NO", "NO SE INDICA"]), float(rnd.randrange(12)) * 5 + 2.5) for i in range(90)]
+    rows = [(*r, rnd.choice(["x", "y"]), int(r[3] > 30 and rnd.random() < 0.8)) for r in rows]
+    df = spark.createDataFrame(rows, "i long, Sexo string, IAE_PREVIO_CORREGIDO string, GRUPO_EDAD_ double, METODO_IAE_PREVIO_ string, CAT_SUI_ int")
+    spec = Experiment(1, "-", ["GRUPO_EDAD_", "Sexo", "IAE_PREVIO_CORREGIDO"], ["METODO_IAE_PREVIO_"], "CAT_SUI_")
+    out = ex.run(df, spec, "i", "RandomForest", grid={"n_estimators": [5], "max_depth": [2, 3]}, repeats=2)
+    assert out["params"]["n_estimators"] == 5 and out["ranking"].count() == 2
+    assert out["metrics"].first().roc_auc > 0.6 and out["scores"].count() == 90
+    assert {r.feature for r in out["permutation"].collect()} == {"GRUPO_EDAD_", "Sexo", "IAE_PREVIO_SI", "IAE_PREVIO_NO", "METODO_IAE_PREVIO_"}
+    assert out["check"].first().consistent and out["distributions"]["GRUPO_EDAD_"].count() > 2
+    c = out["confusion"].first()
+    assert c.tp + c.fp + c.fn + c.tn == 90
