@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import names, order_value
 from ledgerline.functions.dates import MICROS_PER_DAY, years_between_floor_days
 from ledgerline.operators.running import Running, hot_groups, order_position, running
+from ledgerline.operators.skew import join_unique
 
 
 def asof_history(events: DataFrame, history: DataFrame, key: str, event_time: str, history_time: str,
@@ -164,5 +165,4 @@ def _before(events: DataFrame, h: DataFrame, key: str, time: str, values: dict[s
 def _attach(e: DataFrame, state: DataFrame) -> DataFrame:
     """Bring the per-time values back to every event of that time."""
     s = state.withColumnsRenamed({"__key": "__skey", "__pos": "__spos"})
-    match = F.col("__key").eqNullSafe(F.col("__skey")) & F.col("__pos").eqNullSafe(F.col("__spos"))
-    return e.join(s, match, "left").drop("__skey", "__spos")
+    return join_unique(e, s, {"__key": "__skey", "__pos": "__spos"}, null_safe=True).drop("__skey", "__spos")

@@ -1,8 +1,8 @@
 """Linking a ledger to registries by key.
 
 Every registry is reduced to one row per key before it is joined, so a frequent key
-never multiplies rows. Spark chooses broadcast or merge by measured size and splits
-a skewed ledger side; nothing is hinted here.
+never multiplies rows. Spark chooses broadcast or merge by measured size; the rows of
+an oversized ledger key are spread by ``join_unique``.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import count_if, names, order_value
+from ledgerline.operators.skew import join_unique
+
+# Oversized keys of the ledger, where they are known from an earlier count.
+Hot = Sequence[Row] | None
 
 
 def lookup_unique(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str,
-                  columns: Mapping[str, str]) -> DataFrame:
+                  columns: Mapping[str, str], hot: Hot = None) -> DataFrame:
     """Attach registry columns (new name -> registry column); missing keys give null.
 
     A registry key with several rows is an error, raised while the join runs.
@@ -27,34 +31,36 @@ def lookup_unique(ledger: DataFrame, registry: DataFrame, key: str, registry_key
         F.count(F.lit(1)).alias("__n"))
     problem = F.concat(F.lit(f"registry key {registry_key} is not unique: "), F.col("__rk").cast("string"))
     one = one.withColumn("__r", F.when(F.col("__n") > 1, F.raise_error(problem)).otherwise(F.col("__r")))
-    joined = ledger.join(one, F.col(key) == F.col("__rk"), "left")
+    joined = join_unique(ledger, one, {key: "__rk"}, hot=hot)
     return joined.select(*_kept(ledger, columns), *[F.col(f"__r.{n}").alias(n) for n in columns])
 
 
-def with_membership(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, flag: str) -> DataFrame:
+def with_membership(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, flag: str,
+                    hot: Hot = None) -> DataFrame:
     """0/1 flag for keys present in the registry; a null key is absent."""
-    return with_memberships(ledger, key, {flag: (registry, registry_key)})
+    return with_memberships(ledger, key, {flag: (registry, registry_key)}, hot)
 
 
-def with_memberships(ledger: DataFrame, key: str, registries: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+def with_memberships(ledger: DataFrame, key: str, registries: Mapping[str, tuple[DataFrame, str]],
+                     hot: Hot = None) -> DataFrame:
     """Flags for several registries through one join: their key sets are merged first."""
     marked = [r.filter(F.col(k).isNotNull()).select(F.col(k).alias("__rk"), *[
         F.lit(int(f == flag)).alias(f"__m_{f}") for f in registries]) for flag, (r, k) in registries.items()]
     hits = reduce(DataFrame.unionByName, marked).groupBy("__rk").agg(
         *[F.max(f"__m_{f}").alias(f"__m_{f}") for f in registries])
-    joined = ledger.join(hits, F.col(key) == F.col("__rk"), "left")
+    joined = join_unique(ledger, hits, {key: "__rk"}, hot=hot)
     return joined.select(*_kept(ledger, registries),
                          *[F.coalesce(F.col(f"__m_{f}"), F.lit(0)).alias(f) for f in registries])
 
 
 def only_in(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
     """Rows of the left side whose key the right side lacks; null keys stay."""
-    return left.join(_keys(right, right_key), F.col(key) == F.col("__rk"), "left_anti")
+    return join_unique(left, _keys(right, right_key), {key: "__rk"}, "left_anti")
 
 
 def also_in(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
     """Rows of the left side whose key the right side has."""
-    return left.join(_keys(right, right_key), F.col(key) == F.col("__rk"), "left_semi")
+    return join_unique(left, _keys(right, right_key), {key: "__rk"}, "left_semi")
 
 
 def coverage_report(entities: DataFrame, key: str, registries: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -151,22 +157,22 @@ def last_filled(c: Column, order: Column) -> Column:
 
 
 def with_latest(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, ordinal: str | Sequence[str],
-                columns: Sequence[str] | None = None, prefix: str = "latest_") -> DataFrame:
+                columns: Sequence[str] | None = None, prefix: str = "latest_", hot: Hot = None) -> DataFrame:
     """Left lookup of :func:`latest_per_key`."""
     latest = latest_per_key(registry, registry_key, ordinal, columns, prefix)
     new = [c for c in latest.columns if c != registry_key]
-    joined = ledger.join(latest.withColumnRenamed(registry_key, "__rk"), F.col(key) == F.col("__rk"), "left")
+    joined = join_unique(ledger, latest.withColumnRenamed(registry_key, "__rk"), {key: "__rk"}, hot=hot)
     return joined.select(*_kept(ledger, new), *new)
 
 
 def with_filtered_latest(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, text: str, value: str,
-                         ordinal: str | Sequence[str], patterns: Mapping[str, str]) -> DataFrame:
+                         ordinal: str | Sequence[str], patterns: Mapping[str, str], hot: Hot = None) -> DataFrame:
     """Per pattern (output -> regex), the last non-null value among the key's matching rows."""
     order = order_value(ordinal)
     picked = {n: F.when(F.col(text).rlike(p), F.col(value)) for n, p in patterns.items()}
     latest = registry.filter(F.col(registry_key).isNotNull()).groupBy(F.col(registry_key).alias("__rk")).agg(
         *[last_filled(c, order).alias(n) for n, c in picked.items()])
-    joined = ledger.join(latest, F.col(key) == F.col("__rk"), "left")
+    joined = join_unique(ledger, latest, {key: "__rk"}, hot=hot)
     return joined.select(*_kept(ledger, patterns), *patterns)
 
 
@@ -185,8 +191,8 @@ def pair_counterparts(df: DataFrame, group: str, member: str) -> DataFrame:
 def with_counterpart(df: DataFrame, group: str, member: str, out: str = "counterpart") -> DataFrame:
     """Each row of a two-member group gets the other member, all other rows null."""
     pairs = pair_counterparts(df, group, member).withColumnsRenamed({group: "__g", member: "__m", "other": out})
-    match = (F.col(group) == F.col("__g")) & F.col(member).eqNullSafe(F.col("__m"))
-    return df.join(pairs, match, "left").drop("__g", "__m")
+    # Null groups have no pair, so matching nulls concerns only the member.
+    return join_unique(df, pairs, {group: "__g", member: "__m"}, null_safe=True).drop("__g", "__m")
 
 
 def with_first_other(df: DataFrame, group: str, member: str, ordinal: str, out: str = "first_other") -> DataFrame:
@@ -197,24 +203,24 @@ def with_first_other(df: DataFrame, group: str, member: str, ordinal: str, out:
     two = ranked.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2).groupBy(
         F.col(group).alias("__g")).agg(F.max(F.when(F.col("__rn") == 1, F.col(member))).alias("__m1"),
                                        F.max(F.when(F.col("__rn") == 2, F.col(member))).alias("__m2"))
-    joined = df.join(two, F.col(group) == F.col("__g"), "left")
+    joined = join_unique(df, two, {group: "__g"})
     other = F.when(F.col(member) == F.col("__m1"), F.col("__m2")).when(F.col(member).isNotNull(), F.col("__m1"))
     return joined.withColumn(out, other).drop("__g", "__m1", "__m2")
 
 
 def attach_counterpart(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, group: str,
-                       ordinal: str | Sequence[str], out: str = "counterpart") -> DataFrame:
+                       ordinal: str | Sequence[str], out: str = "counterpart", hot: Hot = None) -> DataFrame:
     """Ledger rows get their entity's counterpart, from its first registry row that has one."""
     paired = with_counterpart(registry, group, registry_key, "__other").filter(F.col("__other").isNotNull())
     per_key = paired.groupBy(F.col(registry_key).alias("__rk")).agg(F.min_by("__other", order_value(ordinal)).alias(out))
-    return ledger.join(per_key, F.col(key) == F.col("__rk"), "left").drop("__rk")
+    return join_unique(ledger, per_key, {key: "__rk"}, hot=hot).drop("__rk")
 
 
 def with_secondary_key_flag(ledger: DataFrame, registry: DataFrame, key: str, registry_key: str, secondary: str,
-                            flag: str = "secondary_in_ledger") -> DataFrame:
+                            flag: str = "secondary_in_ledger", hot: Hot = None) -> DataFrame:
     """1 for entities with a registry row whose secondary identifier is itself a ledger entity."""
     hits = also_in(registry.select(registry_key, secondary).distinct(), ledger, secondary, key)
-    return with_membership(ledger, hits, key, registry_key, flag)
+    return with_membership(ledger, hits, key, registry_key, flag, hot)
 
 
 def dict_lookup(ledger: DataFrame, table: DataFrame, key: str, table_key: str, value: str,
@@ -222,7 +228,7 @@ def dict_lookup(ledger: DataFrame, table: DataFrame, key: str, table_key: str, v
     """Map through a table; rows with null key or value are ignored and the last duplicate wins."""
     filled = table.filter(F.col(table_key).isNotNull() & F.col(value).isNotNull())
     last = filled.groupBy(F.col(table_key).alias("__rk")).agg(F.max_by(value, order_value(ordinal)).alias(out))
-    joined = ledger.join(last, F.col(key) == F.col("__rk"), "left")
+    joined = join_unique(ledger, last, {key: "__rk"})
     return joined.select(*_kept(ledger, [out]), out)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import count_if, names, order_value
+from ledgerline.operators.skew import join_unique
 
 
 def in_range(df: DataFrame, column: str, start, end) -> DataFrame:
@@ -87,8 +88,7 @@ def mark_duplicates(df: DataFrame, columns: Sequence[str], ordinal: str | Sequen
     order = order_value(ordinal)
     sets = df.groupBy(*columns).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
     sets = sets.filter(F.col("__n") > 1).withColumnsRenamed({c: f"__d_{c}" for c in columns})
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__d_{c}")) for c in columns])
-    joined = df.join(sets, match, "left")
+    joined = join_unique(df, sets, {c: f"__d_{c}" for c in columns}, null_safe=True)
     hit = F.col("__n").isNotNull()
     if keep_first:
         hit = hit & ~order.eqNullSafe(F.col("__first"))

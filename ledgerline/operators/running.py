@@ -16,13 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ColumnLike, col, names
 from ledgerline.functions.dates import micros
+from ledgerline.operators.skew import local_frame, match_local, oversized, parts_of
 from ledgerline.session import hot_group_rows
 
-# Bounds on what is collected and broadcast: at most this many groups are split
-# (the largest ones), into at most this many slices altogether.
-MAX_HOT_GROUPS = 2_000
-MAX_SLICES = 10_000
-
 _SLICE = "__slice"
 
 
@@ -58,23 +54,17 @@ class HotGroups:
 def hot_groups(df: DataFrame, keys: str | Sequence[str], position: ColumnLike) -> HotGroups:
     """Find the groups to split and the quantiles of ``position`` to split them at.
 
-    Runs one count per group. Only if some group is too large, a second pass over
-    those groups takes quantiles. Both results are bounded: MAX_HOT_GROUPS rows and
-    about MAX_SLICES split points. A group left out because more than MAX_HOT_GROUPS
-    are oversized holds less than 1/MAX_HOT_GROUPS of the rows.
+    Only if some group is too large, a pass over the rows of those groups takes the
+    quantiles. What is collected is bounded by MAX_HOT_GROUPS and MAX_PARTS.
     """
     keys = names(keys)
-    limit = hot_group_rows(df.sparkSession)
     keyed = df.select(*keys, col(position).cast("double").alias("__pos"))
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    found = counts.orderBy(F.desc("__n")).limit(MAX_HOT_GROUPS).collect()
+    found = oversized(keyed, keys)
     if not found:
         return HotGroups(keys)
-    rows_per_slice = max(limit, sum(r["__n"] for r in found) // MAX_SLICES + 1)
-    wanted = {tuple(r[k] for k in keys): math.ceil(r["__n"] / rows_per_slice) for r in found}
+    wanted = {tuple(r[k] for k in keys): n for r, n in zip(found, parts_of(found, hot_group_rows(df.sparkSession)))}
     grid = max(wanted.values())
-    hot_keys = _local_frame(df, keys, [k for k in wanted])
-    hot_rows = _match(keyed, hot_keys, keys, "left_semi") if keys else keyed
+    hot_rows = match_local(keyed, local_frame(df, keys, list(wanted)), keys, "left_semi") if keys else keyed
     fractions = [i / grid for i in range(1, grid)] or [0.5]
     quantiles = hot_rows.groupBy(*keys).agg(
         F.percentile_approx("__pos", fractions, max(10_000, 10 * grid)).alias("__q"))
@@ -150,10 +140,10 @@ def order_position(df: DataFrame, c: Column) -> Column:
 def with_slice(df: DataFrame, position: Column, hot: HotGroups) -> DataFrame:
     """Slice number of each row; -1 outside the oversized groups."""
     keys = hot.keys
-    local = _local_frame(df, [*keys, "__splits"], hot.splits, {"__splits": "array<array<double>>"})
+    local = local_frame(df, [*keys, "__splits"], hot.splits, {"__splits": "array<array<double>>"})
     pos = position.cast("double")
     if keys:
-        joined = _match(df, local, keys, "left")
+        joined = match_local(df, local, keys, "left")
     else:
         joined = df.withColumn("__splits", F.lit(hot.splits[0][0]))
     first = F.transform("__splits", lambda s: s[0])
@@ -177,19 +167,3 @@ def _window(keys: list[str], sort: list[Column], end: int):
 
 def _default(value: Running, c: Column) -> Column:
     return F.coalesce(c, F.lit(0)) if value.kind == "count" else c
-
-
-def _local_frame(df: DataFrame, columns: list[str], rows: list[tuple], types: Mapping[str, str] | None = None):
-    types = types or {}
-    ddl = ", ".join(f"`{c}` {types.get(c) or df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.sparkSession.createDataFrame(rows, ddl) if columns else None
-
-
-def _match(df: DataFrame, local: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join to a bounded local frame with null keys matching."""
-    renamed = local.select(*[F.col(c).alias(f"__k_{c}" if c in keys else c) for c in local.columns])
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = df.join(F.broadcast(renamed), match, how)
-    return joined.drop(*[f"__k_{k}" for k in keys])

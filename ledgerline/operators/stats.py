@@ -13,6 +13,7 @@ from ledgerline.functions.dates import month_end, week_ending_sunday
 from ledgerline.functions.text import lookup
 from ledgerline.functions.values import round_numeric
 from ledgerline.operators.running import Running, hot_groups, order_position, running
+from ledgerline.operators.skew import join_unique
 
 
 def frequencies(df: DataFrame, columns: str | Sequence[str], count: str = "n") -> DataFrame:
@@ -207,8 +208,9 @@ def pattern_check(df: DataFrame, features: Sequence[str], label: str) -> DataFra
 
 def conflict_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rows whose feature tuple is seen with both labels."""
-    keys = label_conflicts(df, features, label).select(*features)
-    return df.join(keys, list(features), "left_semi")
+    both = label_patterns(df, features, label).filter((F.col("n_false") > 0) & (F.col("n_true") > 0))
+    keys = both.select(*[F.col(c).alias(f"__f_{c}") for c in features])
+    return join_unique(df, keys, {c: f"__f_{c}" for c in features}, "left_semi")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

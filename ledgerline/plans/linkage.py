@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import dates, fixed_values as fixed, text, values
 from ledgerline.operators import asof, link, rows
 from ledgerline.operators.profile import Out, entity_profile
+from ledgerline.operators.skew import oversized
 from ledgerline.sources.shared import stored
 from ledgerline.sources.tables import load_delivery, with_row_order
 
@@ -173,16 +174,16 @@ def clean_deaths(deaths: DataFrame) -> DataFrame:
     return values.with_bin_midpoint(coded, "edad_fallecimiento_calculada", "grupo edades_", 5)
 
 
-def link_deaths(ledger: DataFrame, deaths: DataFrame, number: int) -> DataFrame:
+def link_deaths(ledger: DataFrame, deaths: DataFrame, number: int, hot: link.Hot = None) -> DataFrame:
     columns = {**DEATH_COLUMNS, **(DEATH_COLUMNS_2 if number == 2 else {})}
-    out = link.lookup_unique(ledger, deaths, KEY, REGISTRY_KEY, columns)
+    out = link.lookup_unique(ledger, deaths, KEY, REGISTRY_KEY, columns, hot)
     out = out.withColumn("DIAS_IAE_MUERTE_", dates.elapsed_days("event_time", "FECHA_DEFUNCION"))
     if number == 2:
         out = out.withColumn("MOTIVO_EXT_SUI_", F.col("MOTIVO_EXTERNO_").eqNullSafe(F.lit(fixed.EXTERNAL_MOTIVE)))
     return out
 
 
-def link_births(ledger: DataFrame, births: DataFrame, number: int) -> DataFrame:
+def link_births(ledger: DataFrame, births: DataFrame, number: int, hot: link.Hot = None) -> DataFrame:
     names = {"history_count": "CNV_cant_hijos_cuando_IAE", "history_oldest_years": "CNV_edad_hijo_mayor_cuando_IAE",
              "history_youngest_years": "CNV_edad_hijo_menor_cuando_IAE"}
     key = births.withColumnRenamed(REGISTRY_KEY, KEY).withColumn(REGISTRY_KEY, F.col(KEY))
@@ -190,17 +191,17 @@ def link_births(ledger: DataFrame, births: DataFrame, number: int) -> DataFrame:
         return asof.asof_history(ledger, key, KEY, "event_time", BIRTH_TIME).withColumnsRenamed(names)
     out = asof.asof_enrich(ledger, key, KEY, "event_time", BIRTH_TIME, BIRTH_FIELDS, ROW,
                            last_prefix="CNV_ultimo_cuando_IAE_").withColumnsRenamed(names)
-    out = link.with_secondary_key_flag(out, births, KEY, REGISTRY_KEY, BIRTH_GROUP, "CNV_nro_rese_in_IAE_")
-    return link.attach_counterpart(out, births, KEY, REGISTRY_KEY, BIRTH_GROUP, ROW, "CNV_otro_progenitor_")
+    out = link.with_secondary_key_flag(out, births, KEY, REGISTRY_KEY, BIRTH_GROUP, "CNV_nro_rese_in_IAE_", hot)
+    return link.attach_counterpart(out, births, KEY, REGISTRY_KEY, BIRTH_GROUP, ROW, "CNV_otro_progenitor_", hot)
 
 
-def link_coverage(ledger: DataFrame, coverage: DataFrame) -> DataFrame:
+def link_coverage(ledger: DataFrame, coverage: DataFrame, hot: link.Hot = None) -> DataFrame:
     """Latest coverage record per entity, with its provider classes."""
     labelled = coverage.withColumn("tipo_prestador_RUCAF", text.provider_list_class("prestador")).withColumns({
         "PRESTADOR_PUBLICO_": text.has_class("tipo_prestador_RUCAF", fixed.PUBLIC),
         "PRESTADOR_PRIVADO_": text.has_class("tipo_prestador_RUCAF", fixed.PRIVATE)})
     columns = [c for c in labelled.columns if c not in (REGISTRY_KEY, ROW)]
-    return link.with_latest(ledger, labelled, KEY, REGISTRY_KEY, ROW, columns, "RUCAF_")
+    return link.with_latest(ledger, labelled, KEY, REGISTRY_KEY, ROW, columns, "RUCAF_", hot)
 
 
 def link_stays(ledger: DataFrame, stays: DataFrame) -> DataFrame:
@@ -222,23 +223,25 @@ def distinct_registry(df: DataFrame) -> DataFrame:
 def linked_ledger(tables: Mapping[str, DataFrame | None], number: int) -> DataFrame:
     """The cleaned ledger with everything the registries add to it.
 
-    The lookups join on one key, so they share one exchange of the ledger.
+    The cleaned ledger is stored, as all the links start from it, and its oversized
+    keys are counted once. The lookups join on one key, so they share one exchange.
     """
     t = numbered(tables)
-    ledger = clean_ledger(t["ledger"], number)
+    ledger = stored(clean_ledger(t["ledger"], number))
+    hot = oversized(ledger, [KEY])
     deaths = clean_deaths(t["deaths"].drop(ROW))
     births = rows.first_by(t["births"], [c for c in t["births"].columns if c != ROW], ROW)
     coverage, vaccination = distinct_registry(t["coverage"]), distinct_registry(t["vaccination"])
     alerts = rows.keep_filled(t["alerts"].drop(ROW), 2)
-    out = link_births(ledger, births, number)
+    out = link_births(ledger, births, number, hot)
     if t.get("stays") is not None:
         out = link_stays(out, t["stays"])
-    out = link_deaths(out, deaths, number)
+    out = link_deaths(out, deaths, number, hot)
     out = link.with_memberships(out, KEY, {
         "IAE_en_CDE": (deaths, REGISTRY_KEY), "CNV_": (births, REGISTRY_KEY), "SHARPS_": (alerts, REGISTRY_KEY),
-        "SIV_": (vaccination, REGISTRY_KEY)})
-    out = link_coverage(out, coverage)
-    return link.with_filtered_latest(out, vaccination, KEY, REGISTRY_KEY, "descripcion", "dosis", ROW, fixed.DOSE_PATTERNS)
+        "SIV_": (vaccination, REGISTRY_KEY)}, hot)
+    out = link_coverage(out, coverage, hot)
+    return link.with_filtered_latest(out, vaccination, KEY, REGISTRY_KEY, "descripcion", "dosis", ROW, fixed.DOSE_PATTERNS, hot)
 
 
 def entity_table(ledger: DataFrame, number: int) -> DataFrame:

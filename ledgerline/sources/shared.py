@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.operators.skew import estimated_bytes
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 # An input that fills less than this per core is spread before heavy work on its rows.
@@ -42,5 +44,4 @@ def spread(df: DataFrame) -> DataFrame:
     The size is the planner's estimate, so nothing runs to find it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * SPREAD_BYTES_PER_CORE else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
