@@ -48,7 +48,11 @@ def curves(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> D
                      descending=True)
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     tp, fp = F.col("tp"), F.col("fp")
-    out = summed.join(totals, list(keys)).withColumns({
+    if added:
+        both = summed.withColumns({c: totals.select(c).scalar() for c in ("n_pos", "n_neg")})
+    else:
+        both = summed.join(totals, list(keys))
+    out = both.withColumns({
         "precision": tp / (tp + fp), "recall": F.try_divide(tp, F.col("n_pos")), "fpr": F.try_divide(fp, F.col("n_neg"))})
     return out.drop(*added)
 
