@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import names, order_value
 from ledgerline.functions.dates import MICROS_PER_DAY, years_between_floor_days
-from ledgerline.operators.running import Running, hot_groups, order_position, running
+from ledgerline.operators.running import HotGroups, Running, hot_groups, order_position, running
 from ledgerline.operators.skew import join_unique
 
 
@@ -82,24 +82,17 @@ def nearest_within(events: DataFrame, history: DataFrame, key: str, event_time:
     e = _events(events, key, event_time)
     stacked = _stack(e, h)
     hot = hot_groups(stacked, "__key", "__pos")
+    back, ahead = F.col("__h.b"), F.col("__h.r")
+    # History before events at equal times, in both directions.
+    tag = F.col("__tag")
+    rows = hot.pick(stacked, False) if hot else stacked
+    both = _both_sides(rows, back, ahead, ["__pos", -tag], ["__pos", tag]).filter(tag == 0).select(*_NEAR)
     if hot:
-        first = F.min(F.col("__h.r"))
-        per_time = stacked.groupBy("__key", "__t", "__pos").agg(
-            first.alias("__r"), F.max("__h.b").alias("__b"), F.max((F.col("__tag") == 0).cast("int")).alias("__ev"))
-        back, ahead = F.col("__b"), F.col("__r")
-        rows, order = per_time, ["__pos"]
-    else:
-        # History before events at equal times, in both directions.
-        back, ahead = F.col("__h.b"), F.col("__h.r")
-        rows, order = stacked, ["__pos", F.col("__tag")]
-    prev = running(rows, "__key", order if hot else ["__pos", -F.col("__tag")], {"__prev": Running("max", back)}, hot=hot)
-    both = running(prev, "__key", order, {"__next": Running("min", ahead)}, descending=True, hot=hot)
-    both = both.withColumn("__prev", F.col("__prev.r"))
-    if hot:
-        state = both.filter(F.col("__ev") == 1).select("__key", "__pos", "__prev", "__next")
-        both = _attach(e, state)
-    else:
-        both = both.filter(F.col("__tag") == 0)
+        per_time = hot.pick(stacked, True).groupBy("__key", "__pos").agg(
+            F.max(back).alias("__b"), F.min(ahead).alias("__r"), F.max((tag == 0).cast("int")).alias("__ev"))
+        found = _both_sides(per_time, F.col("__b"), F.col("__r"), ["__pos"], ["__pos"], hot).filter(F.col("__ev") == 1)
+        split = _attach(hot.pick(e, True), found.select("__key", "__pos", "__prev", "__next"))
+        both = both.unionByName(split.select(*_NEAR))
     at, before, after = F.col("__pos"), F.col("__prev"), F.col("__next")
     gap_b, gap_a = at - before["p"], after["p"] - at
     take_before = after.isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & (before["o"] < after["o"]))
@@ -110,6 +103,17 @@ def nearest_within(events: DataFrame, history: DataFrame, key: str, event_time:
         *_event_columns(events, key), *[F.when(ok, F.col(f"__near.f.`{c}`")).alias(f"{prefix}{c}") for c in fields])
 
 
+_NEAR = ["__key", "__pos", "__e", "__prev", "__next"]
+
+
+def _both_sides(rows: DataFrame, back: Column, ahead: Column, up: list, down: list, hot: HotGroups | None = None) -> DataFrame:
+    """Latest record up to each row and earliest record from it on."""
+    hot = hot or HotGroups(["__key"])
+    prev = running(rows, "__key", up, {"__prev": Running("max", back)}, hot=hot)
+    both = running(prev, "__key", down, {"__next": Running("min", ahead)}, descending=True, hot=hot)
+    return both.withColumn("__prev", F.col("__prev.r"))
+
+
 def _rank(history_time: str, ordinal: str | Sequence[str], by: str) -> Column:
     if by not in ("ordinal", "date"):
         raise ValueError(f"by must be 'ordinal' or 'date', not {by!r}")
@@ -142,24 +146,30 @@ def _stack(e: DataFrame, h: DataFrame) -> DataFrame:
 
 def _before(events: DataFrame, h: DataFrame, key: str, time: str, values: dict[str, Running],
             merged: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Running values over the history rows strictly earlier than each event."""
+    """Running values over the history rows strictly earlier than each event.
+
+    Split entities go their own way, so all others keep the one exchange.
+    """
     e = _events(events, key, time)
     stacked = _stack(e, h)
     hot = hot_groups(stacked, "__key", "__pos")
+    kept = ["__key", "__pos", "__e", *values]
+    # Events sort before history at equal times and so do not see it.
+    rows = hot.pick(stacked, False) if hot else stacked
+    plain = running(rows, "__key", ["__pos", F.col("__tag")], values, hot=HotGroups(["__key"]))
+    plain = plain.filter(F.col("__tag") == 0).select(*kept)
     if not hot:
-        # Events sort before history at equal times and so do not see it.
-        out = running(stacked, "__key", ["__pos", F.col("__tag")], values, hot=hot)
-        return out.filter(F.col("__tag") == 0)
+        return plain
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     past = F.col("__tag") == 1
-    per_time = stacked.groupBy("__key", "__pos").agg(
+    per_time = hot.pick(stacked, True).groupBy("__key", "__pos").agg(
         *[fold[kind](F.when(past, c)).alias(f"{n}_at") for n, (kind, c) in merged.items()],
         F.max((F.col("__tag") == 0).cast("int")).alias("__ev"))
-    values = {n: Running(kind, F.col(f"{n}_at")) for n, (kind, _) in merged.items()}
-    seen = running(per_time, "__key", ["__pos"], values, include_current=False, hot=hot)
+    at_times = {n: Running(kind, F.col(f"{n}_at")) for n, (kind, _) in merged.items()}
+    seen = running(per_time, "__key", ["__pos"], at_times, include_current=False, hot=hot)
     state = seen.filter(F.col("__ev") == 1).select("__key", "__pos", *values)
     zero = {n: F.coalesce(F.col(n), F.lit(0)) for n, (kind, _) in merged.items() if kind == "sum"}
-    return _attach(e, state).withColumns(zero)
+    return plain.unionByName(_attach(hot.pick(e, True), state).withColumns(zero).select(*kept))
 
 
 def _attach(e: DataFrame, state: DataFrame) -> DataFrame:

@@ -50,6 +50,11 @@ class HotGroups:
     def __bool__(self) -> bool:
         return bool(self.splits)
 
+    def pick(self, df: DataFrame, inside: bool) -> DataFrame:
+        """Rows of the split groups, or all other rows."""
+        local = local_frame(df, self.keys, [s[:-1] for s in self.splits])
+        return match_local(df, local, self.keys, "left_semi" if inside else "left_anti")
+
 
 def hot_groups(df: DataFrame, keys: str | Sequence[str], position: ColumnLike) -> HotGroups:
     """Find the groups to split and the quantiles of ``position`` to split them at.
