@@ -105,6 +105,11 @@ def positions(df: DataFrame, ordinal: str, start: int, end: int) -> DataFrame:
     return df.filter((F.col(ordinal) >= start) & (F.col(ordinal) < end))
 
 
+def end_rows(df: DataFrame, ordinal: str, n: int, last: bool = False) -> DataFrame:
+    """First or last n rows in row order."""
+    return df.orderBy(F.desc(ordinal) if last else F.asc(ordinal)).limit(n)
+
+
 def presence_matrix(df: DataFrame, first: str, second: str) -> DataFrame:
     """Row counts by presence of two fields."""
     return (df.groupBy(F.col(first).isNotNull().alias(f"has_{first}"), F.col(second).isNotNull().alias(f"has_{second}"))

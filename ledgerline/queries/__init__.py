@@ -3,7 +3,7 @@
 from ledgerline.queries.registry import QUERIES, SQL
 
 from ledgerline.queries import (  # noqa: E402,F401  (imports register the queries)
-    rows, link, temporal, profiles, stats, cleaning, sources, models, retrieval,
+    rows, link, temporal, profiles, stats, cleaning, linkage, sources, models, retrieval,
 )
 
 __all__ = ["QUERIES", "SQL"]

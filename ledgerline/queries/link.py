@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed_values as fixed
+from ledgerline.functions.text import lookup
 from ledgerline.operators import link, stats
 from ledgerline.queries.registry import Tables, query
 
@@ -218,6 +219,13 @@ REGION_NAMES = {f"NATION_{i}": name for i, name in enumerate(fixed.POPULATION)}
 REGION_VALUES = ", ".join(f"('NATION_{i}', '{name}', {n})" for i, (name, n) in enumerate(fixed.POPULATION.items()))
 
 
+@query(f"""WITH p(nation, region, population) AS (VALUES {REGION_VALUES})
+SELECT n_nationkey, n_name, region, population::INT AS population FROM nation LEFT JOIN p ON nation = n_name""")
+def constant_lookup(t):
+    named = t.nation.select("n_nationkey", "n_name", lookup("n_name", REGION_NAMES).alias("region"))
+    return named.withColumn("population", lookup("region", fixed.POPULATION))
+
+
 @query(f"""WITH p(nation, region, population) AS (VALUES {REGION_VALUES})
 SELECT coalesce(region, n_name) AS region, count(*) AS n, any_value(population)::BIGINT AS population,
  round(100000.0 * count(*) / any_value(population), 6) AS rate

@@ -148,3 +148,9 @@ def threshold_metrics(t):
 SELECT doc_id, p.quality, (SELECT count(*) FROM e WHERE e.quality = p.quality AND e.done < r)::INT AS fold FROM p""")
 def stratified_folds(t):
     return ev.stratified_folds(t.labels, "quality", "doc_id").select("doc_id", "quality", "fold")
+
+
+@query(f"""SELECT round(avg(((score > 0.5)::INT = y)::INT), 9) AS accuracy FROM ({SCORED_SQL})""")
+def mean_accuracy(t):
+    predicted = scored_lines(t).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+    return rounded(ev.mean_accuracy(predicted, "prediction", "y"), 9)

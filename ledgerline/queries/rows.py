@@ -212,6 +212,11 @@ def row_positions(t):
     return rows.positions(t.orders, "o_orderkey", 10, 4000).select("o_orderkey", "o_custkey")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 30")
+def last_rows(t):
+    return rows.end_rows(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey", 30, last=True)
+
+
 @query(f"""SELECT o.o_orderkey, o_custkey, o_totalprice * 2 AS doubled FROM orders o
 JOIN ({GAPS_SQL}) g ON g.o_orderkey = o.o_orderkey
 WHERE (price IS NULL)::INT + (status IS NULL)::INT + (priority IS NULL)::INT > 2""")
