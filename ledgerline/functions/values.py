@@ -23,13 +23,14 @@ def bin_midpoint(c: ColumnLike, width: int, edge: int) -> Column:
 
 
 def with_bin_midpoint(df: DataFrame, source: str, target: str, width: int = 5, coerce: bool = False,
-                      closed_top: bool = False) -> DataFrame:
+                      closed_top: bool = False, basis: DataFrame | None = None) -> DataFrame:
     """Bins up to the column maximum, which one aggregate over the column finds.
 
-    Text that is not a number is an error, or null with ``coerce``.
+    ``basis`` is a cheaper table with the same maximum to find it in. Text that is not
+    a number is an error, or null with ``coerce``.
     """
     number = F.col(source).try_cast("double") if coerce else F.col(source).cast("double")
-    largest = df.agg(F.max(number)).first()[0]
+    largest = (basis or df).agg(F.max(number)).first()[0]
     if largest is None:
         return df.withColumn(target, F.lit(None).cast("double"))
     return df.withColumn(target, bin_midpoint(number, width, bin_upper_edge(largest, width, closed_top)))

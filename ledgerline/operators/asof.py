@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import names, order_value
+from ledgerline.functions.columns import order_value
 from ledgerline.functions.dates import MICROS_PER_DAY, years_between_floor_days
 from ledgerline.operators.running import HotGroups, Running, hot_groups, order_position, running
 from ledgerline.operators.skew import join_unique

@@ -140,6 +140,8 @@ def clean_ledger(ledger: DataFrame, number: int) -> DataFrame:
     """Row filter, duplicates, text rules, provider classes, ages; and follow-up fields for delivery 2."""
     data = [c for c in ledger.columns if c != ROW]
     kept = rows.keep_filled(ledger.select(ROW, *[F.col(f"`{c}`") for c in data]), 4 + 1)  # the row number is always filled
+    # Copies do not change the largest age, so it is found before they are folded.
+    aged = kept.select(F.col("age") if number == 1 else dates.age_calendar_years("birth_date", "event_time").alias("EDAD_"))
     kept = rows.first_by(kept, data, ROW)
     kept = kept.withColumns({
         "tiene_registro_": values.not_null_flag("recorded_time"), "es_IAE_": values.not_null_flag("event_time"),
@@ -152,7 +154,7 @@ def clean_ledger(ledger: DataFrame, number: int) -> DataFrame:
         "PRESTADOR_PRIVADO_": text.has_class("Tipo_prestador_IAE_", fixed.PRIVATE),
     })
     age = "age" if number == 1 else "EDAD_"
-    kept = values.with_bin_midpoint(kept, age, "GRUPO_EDAD_", 5)
+    kept = values.with_bin_midpoint(kept, age, "GRUPO_EDAD_", 5, basis=aged)
     return clean_followup(kept) if number == 2 else kept
 
 
