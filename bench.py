@@ -12,7 +12,7 @@ from ledgerline.queries import QUERIES
 from ledgerline.session import build_session
 
 HEADLINE = [
-    "entity_profile", "asof_history", "asof_last_record", "nearest_within", "lookup_join", "membership_flags",
+    "entity_profile", "linked_profile", "entity_table", "asof_history", "asof_last_record", "nearest_within", "lookup_join", "membership_flags",
     "coverage_report", "latest_per_key", "filtered_latest", "pair_counterpart", "dedup_subset", "duplicate_counts",
     "delivery_compare", "table_profile", "weekly_counts", "histogram", "label_conflicts", "conflict_rows", "method_labels",
     "date_repair", "ages", "score_curves", "stratified_folds", "chunks_recursive", "chunks_window", "html_page_text",
