@@ -33,8 +33,8 @@ class Centroids:
     a hash of the text); document frequencies and rejection distances come from all
     training texts. ``languages`` bounds the number of languages. A text is rejected when
     its distance is more than ``deviations`` standard deviations above the mean of the
-    training texts of its language and length; a deviation counts as ``least_deviation``
-    at least, and lengths with fewer than ``least_texts`` training texts reject nothing.
+    training texts of its language and length (its language, or all texts, where those are
+    fewer than ``least_texts``); a deviation counts as ``least_deviation`` at least.
     """
 
     dimensions: int = 4096
@@ -98,7 +98,11 @@ class Model:
 
     def __init__(self, p: Centroids, idf: np.ndarray, names: list[str], centroids: np.ndarray):
         self.p, self.idf, self.names, self.centroids = p, idf, names, centroids
-        self.cutoffs: dict[tuple[str, int], float] = {}
+        self.cutoffs: dict[tuple, float] = {}
+
+    def cutoff(self, lang: str, letters: int) -> float:
+        """The largest distance accepted: by language and length, or language, or all, as there were enough texts."""
+        return next((self.cutoffs[k] for k in ((lang, _band(letters)), (lang, None), (None, None)) if k in self.cutoffs), 2.0)
 
     def nearest(self, counts: list[np.ndarray]) -> np.ndarray:
         """Cosine with the nearest centroid of each language, a column per distinct language name in order."""
@@ -178,9 +182,14 @@ def _learn_cutoffs(model: Model, known: DataFrame) -> None:
 
     measured = arrow_map(known, "lang string, band int, distance double", make)
     stats = measured.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"))
+    sums: dict[tuple, np.ndarray] = {}
     for r in stats.collect():  # a row per language and power of two of the length
-        if r.n >= p.least_texts:
-            model.cutoffs[r.lang, r.band] = r["mean"] + p.deviations * max(r.sd, p.least_deviation)
+        for key in ((r.lang, r.band), (r.lang, None), (None, None)):
+            sums[key] = sums.get(key, np.zeros(3)) + r.n * np.array([1, r["mean"], r.sd ** 2 + r["mean"] ** 2])
+    for key, (n, first, second) in sums.items():
+        if n >= p.least_texts:
+            deviation = max(second / n - (first / n) ** 2, 0.0) ** 0.5
+            model.cutoffs[key] = first / n + p.deviations * max(deviation, p.least_deviation)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -205,7 +214,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         continue
                     best = int(np.argmax(cos[i]))
                     score = float(cos[i, best])
-                    far = 1 - score > model.cutoffs.get((names[best], _band(letters)), 2.0)
+                    far = 1 - score > model.cutoff(names[best], letters)
                     out.append((names[best], score, 1 - score, far))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "distance", "rejected"])
 
