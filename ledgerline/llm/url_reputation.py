@@ -41,10 +41,12 @@ class Reputation:
 
     ``suffixes`` names suffixes of several labels (such as a second-level registry); the
     suffix of any other host is its last label. ``limit`` is the bad rate a host may
-    have; ``z`` is how many posterior deviations must lie between it and the mean.
+    have, ``base_rate`` the one of all pages before any outcome is seen (it weighs as two
+    outcomes); ``z`` is how many posterior deviations must lie between it and the mean.
     """
 
     limit: float = 0.3
+    base_rate: float = 0.1
     z: float = 1.645
     least: float = 2.0
     most: float = 1000.0
@@ -99,15 +101,15 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, p: Reputation = Reput
 
     ``pages`` has page_id and host; ``outcomes`` has page_id and bad (0 or 1). A page with
     several outcomes is bad if one of them is; null outcomes and ids count for nothing. A
-    host without outcomes has its prior as its posterior. Tables without rows give rows
-    at the uniform prior, or none.
+    host without outcomes has its prior as its posterior. Without outcomes all hosts
+    are at the base rate, and without pages there are no rows.
     """
     known = outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     domain, suffix = domain_and_suffix(F.col("host"), p.suffixes)
     hosts = (pages.select("page_id", "host").join(known, "page_id", "left").groupBy("host")
              .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
              .withColumns({"domain": domain, "suffix": suffix}))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
+    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 2 * p.base_rate) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
     parents = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))  # one row
     for level, child in (("suffix", "domain"), ("domain", "host")):
         shrunk = parents.crossJoin(F.broadcast(_strength(parents, p)))  # one row
