@@ -33,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}
 _NEVER = 1 << 60
 _START = -1
 #: Bounds of what a worker remembers: transitions looked up, and words encoded.
-TABLE_ENTRIES, WORD_ENTRIES = 1 << 20, 1 << 17
+TABLE_ENTRIES, WORD_ENTRIES = 1 << 20, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -101,29 +101,30 @@ class MergeAutomaton:
     def encode(self, word: str) -> list[int]:
         """Ids of one pre-split word, given in byte symbols.
 
-        A forward walk keeps, for each place that tokens reach, the one token that gets
-        there; the ids are read back from the end.
+        From each place the longest token with a transition is taken first. No two walks
+        lead to one place, so a place from which the end is not reached is left for good.
         """
         n, vocab, arcs, longest, end = len(word), self.vocab, self.arcs, self.longest, self.word_end
-        if n == 0:
-            return []
-        last = [_START] + [None] * n
-        for i in range(n):
-            state = last[i]
-            if state is None:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                t = vocab.get(word[i:j] + end if j == n else word[i:j])
-                if t is not None and last[j] is None and t in arcs and self.has_arc(state, t):
-                    last[j] = t
-        out, j = [], n
-        while j:
-            t = last[j]
-            if t is None:
+        out, starts, lost = [], [], set()
+        at, last, to = 0, _START, min(n, longest)
+        while at < n:
+            while to > at:
+                t = vocab.get(word[at:to] + end if to == n else word[at:to])
+                if t is not None and t in arcs and to not in lost and self.has_arc(last, t):
+                    break
+                to -= 1
+            if to > at:
+                out.append(t)
+                starts.append(at)
+                at, last, to = to, t, min(n, to + longest)
+            elif out:
+                lost.add(at)
+                out.pop()
+                at, to = starts.pop(), at - 1
+                last = out[-1] if out else _START
+            else:
                 raise ValueError("a symbol of the word is not in the vocabulary")
-            out.append(t)
-            j -= len(self.labels[t]) - (len(end) if end and j == n else 0)
-        return out[::-1]
+        return out
 
 
 class WordBpe:
