@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ASCII_SPACE
+from ledgerline.llm.common import ASCII_SPACE, sized
 from ledgerline.sources.shared import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -37,7 +37,8 @@ class Outliers:
     to the variances, so that statistics that hardly vary do not make small differences
     large. Groups of fewer than ``least_rows`` texts are joined with the others of their
     language, and those with all others. ``cutoff`` is the largest squared distance kept,
-    on the scale of chi-square with five degrees of freedom.
+    on the scale of chi-square with five degrees of freedom. Up to ``broadcast_groups``
+    groups are sent to all tasks, more are joined.
     """
 
     least_words: int = 50
@@ -47,6 +48,7 @@ class Outliers:
     least_spread: tuple[float, ...] = (0.4, 0.1, 0.4, 0.15, 0.15)
     least_rows: int = 200
     cutoff: float = 60.0
+    broadcast_groups: int = 50_000
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def _with_groups(rows: DataFrame, p: Outliers) -> DataFrame:
     counts = rows.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
     few = F.sum(F.when(F.col("n") < p.least_rows, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))  # a row per language and source
     group = F.when(F.col("n") >= p.least_rows, F.to_json(source)).when(few >= p.least_rows, F.to_json(lang)).otherwise("{}")
-    groups = counts.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), group.alias("__group"))
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))).drop("__l", "__s")
+    groups = stored(counts.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), group.alias("__group")))
+    return rows.join(sized(groups, p.broadcast_groups), F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))).drop("__l", "__s")
 
 
 def _moments(rows: DataFrame, p: Outliers) -> DataFrame:
