@@ -34,7 +34,7 @@ class KneserNey:
     """
 
     trusted: int = 6000
-    tokens: int = 2_000_000
+    tokens: int = 1_000_000
     word_bytes: int = 64
     quantile: float = 0.99
     shards: int = 4
@@ -70,7 +70,7 @@ def _sample(docs: DataFrame, trusted: DataFrame, p: KneserNey) -> DataFrame:
         return work
 
     held = stored(arrow_map(mine, "doc_id long, words array<string>", make))
-    sizes = held.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("words").alias("n")).orderBy("h", "doc_id").limit(p.trusted).toPandas()
+    sizes = held.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("words").alias("n")).orderBy("h", "doc_id").limit(p.trusted).toArrow().to_pandas()
     fit = sizes[sizes["n"].cumsum() <= p.tokens]
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in fit["doc_id"].unique()], "doc_id long")
     return held.join(F.broadcast(ids), "doc_id", "left_semi").select("words")  # at most p.trusted ids
@@ -102,7 +102,7 @@ def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Ta
     spark = docs.sparkSession
     sample = _sample(docs, trusted, p)
     found = sample.select(F.explode("words").alias("w")).filter("w <> ''").groupBy("w").count().orderBy("w")
-    words = [r.w for r in found.select("w").toLocalIterator()]  # bounded by the tokens of the sample
+    words = found.select("w").toArrow().column("w").to_pylist()  # bounded by the tokens of the sample
     vocabulary = {w.encode(): i for i, w in enumerate(words, _FIRST_WORD)}
     size = len(words) + _FIRST_WORD
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -130,32 +130,32 @@ def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Ta
     d1 = _discounts(uni)
 
     c1 = np.zeros(size)
-    for r in uni.toLocalIterator():
-        c1[r.w] = r.c
+    frame = uni.toArrow()
+    c1[frame["w"].to_numpy()] = frame["c"].to_numpy()
     seen, total = c1 > 0, c1.sum()
     off = np.where(c1 == 1, d1[0], np.where(c1 == 2, d1[1], d1[2])) * seen
     possible = size - 1  # all but the start; unknown stands for one word more
     unigram = ((c1 - off) / total if total else np.zeros(size)) + (off.sum() / total if total else 1.0) / possible
     weight1 = np.ones(size)
-    frame = bi_weight.toPandas()
-    weight1[frame["v"].to_numpy(np.int64)] = frame["weight"]
+    frame = bi_weight.toArrow()
+    weight1[frame["v"].to_numpy()] = frame["weight"].to_numpy()
 
-    def keyed(frame, first: str, second: str) -> np.ndarray:
-        return frame[first].to_numpy(np.int64) << 32 | frame[second].to_numpy(np.int64)
+    def keyed(frame: pa.Table, first: str, second: str) -> np.ndarray:
+        return frame[first].to_numpy().astype(np.int64) << 32 | frame[second].to_numpy().astype(np.int64)
 
     pairs = bi_share.join(tri_weight.toDF("v", "w", "weight"), ["v", "w"], "full").select(
-        "v", "w", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("weight", F.lit(1.0)).alias("weight")).toPandas()
+        "v", "w", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("weight", F.lit(1.0)).cast("float").alias("weight")).toArrow()
     key = keyed(pairs, "v", "w")
     order = np.argsort(key)
-    key, share, weight = key[order], pairs["share"].to_numpy(np.float32)[order], pairs["weight"].to_numpy(np.float32)[order]
-    frame = tri_share.toPandas()
+    key, share, weight = key[order], pairs["share"].to_numpy()[order], pairs["weight"].to_numpy()[order]
+    frame = tri_share.select("u", "v", "w", F.col("share").cast("float").alias("share")).toArrow()
     if len(key):
         context = np.searchsorted(key, keyed(frame, "u", "v"))
-        key3 = context << 32 | frame["w"].to_numpy(np.int64)
+        key3 = context << 32 | frame["w"].to_numpy().astype(np.int64)
     else:
         key3 = np.empty(0, np.int64)
     order = np.argsort(key3)
-    key3, share3 = key3[order], frame["share"].to_numpy(np.float32)[order]
+    key3, share3 = key3[order], frame["share"].to_numpy()[order]
     cuts2 = [len(key) * i // p.shards for i in range(p.shards + 1)]
     cuts3 = [len(key3) * i // p.shards for i in range(p.shards + 1)]
     return Tables(vocabulary, unigram, weight1,

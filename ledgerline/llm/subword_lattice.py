@@ -175,7 +175,7 @@ def score_documents(docs: DataFrame, training: Column, p: Lattice) -> DataFrame:
     n, v = (sums.n or 0) + ends, sums.v + (1 if ends else 0)
     pieces = learn_pieces(counts, ends, p)
     short = counts.filter(F.length("word") <= p.frequent_chars)
-    top = with_lattice(short.orderBy(F.desc("c"), "word").limit(p.frequent), pieces).toPandas()  # bounded by both limits
+    top = with_lattice(short.orderBy(F.desc("c"), "word").limit(p.frequent), pieces).toArrow().to_pandas()  # bounded by both limits
     table = {w.encode(): i for i, w in enumerate(top["word"])}
     shared = spark.sparkContext.broadcast((table, top["c"].to_numpy() > 0, top["base"].to_numpy(), top["lattice"].to_numpy()))
     least_base = math.log10(n + v + 1)
