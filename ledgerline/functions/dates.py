@@ -20,6 +20,11 @@ DAYS_PER_YEAR = 365.25
 # above the threshold are taken for dates.
 SERIAL_BASE = "1899-12-30"
 SERIAL_THRESHOLD = 20000
+SERIAL_LAST = 2958465  # the last day of the year 9999
+
+# A number by itself is not a date.
+_PLAIN_NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
+_SERIAL = r"^\s*[0-9]+(\.[0-9]+)?([eE]\+?[0-9]+)?\s*$"
 
 
 def micros(c: ColumnLike) -> Column:
@@ -61,18 +66,21 @@ def age_days_over_365(birth: ColumnLike, at: ColumnLike) -> Column:
 
 
 def parse_date(c: ColumnLike, formats: Sequence[str] = ()) -> Column:
-    """First format that matches the whole text, else ISO; null when none does."""
+    """First format that matches the whole text, else ISO; null when none does, or for a number that no format takes."""
     text = col(c)
     tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries, text.try_cast("timestamp_ntz"))
+    iso = F.when(~text.cast("string").rlike(_PLAIN_NUMBER), text.try_cast("timestamp_ntz"))
+    return F.coalesce(*tries, iso)
 
 
 def serial_to_date(c: ColumnLike) -> Column:
     """Spreadsheet day number to a timestamp, null for every other value."""
-    number = col(c).try_cast("double")
+    text = col(c).cast("string")
+    number = F.when(text.rlike(_SERIAL), text).try_cast("double")
+    number = F.when((number > SERIAL_THRESHOLD) & (number <= SERIAL_LAST), number)
     seconds = F.round(number * 86400, 6)
     date = F.lit(SERIAL_BASE).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
-    return F.when(number > SERIAL_THRESHOLD, date)
+    return F.when(number.isNotNull(), date)
 
 
 def repair_serial_text(c: ColumnLike) -> Column:

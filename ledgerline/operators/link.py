@@ -30,8 +30,9 @@ def lookup_unique(ledger: DataFrame, registry: DataFrame, key: str, registry_key
         F.first(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).alias("__r"),
         F.count(F.lit(1)).alias("__n"))
     problem = F.concat(F.lit(f"registry key {registry_key} is not unique: "), F.col("__rk").cast("string"))
-    one = one.withColumn("__r", F.when(F.col("__n") > 1, F.raise_error(problem)).otherwise(F.col("__r")))
     joined = join_unique(ledger, one, {key: "__rk"}, hot=hot)
+    # as a filter behind the join it stays in the plan even where no looked-up column is read
+    joined = joined.filter(F.when(F.col("__n") > 1, F.raise_error(problem).cast("boolean")).otherwise(True))
     return joined.select(*_kept(ledger, columns), *[F.col(f"__r.{n}").alias(n) for n in columns])
 
 

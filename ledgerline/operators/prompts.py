@@ -32,8 +32,10 @@ def render(template: str, values: Mapping[str, ColumnLike]) -> Column:
     return F.concat(*pieces)
 
 
-def last_turns(turns: DataFrame, conversation: str, turn: str, k: int) -> DataFrame:
-    """The last k turns of each conversation; the limit applies before the exchange too."""
+def last_turns(turns: DataFrame, conversation: str, turn: str, k: int | None) -> DataFrame:
+    """The last k turns of each conversation (None: all); the limit applies before the exchange too."""
+    if k is None:
+        return turns
     w = Window.partitionBy(conversation).orderBy(F.desc(turn))
     return turns.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 
@@ -52,9 +54,9 @@ def history_turns(turns: DataFrame, names: Mapping[str, str] | None = None, role
     return turns.withColumn(out, turn_text(role, text, names))
 
 
-def histories(turns: DataFrame, conversation: str, turn: str, k: int, names: Mapping[str, str] | None = None,
+def histories(turns: DataFrame, conversation: str, turn: str, k: int | None, names: Mapping[str, str] | None = None,
               role: str = "role", text: str = "text", out: str = "chat_history") -> DataFrame:
-    """Transcript of the last k turns per conversation, oldest first."""
+    """Transcript of the last k turns (None: all) per conversation, oldest first."""
     lines = history_turns(last_turns(turns, conversation, turn, k), names, role, text)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("n"), F.col("line").alias("t"))))
     return lines.groupBy(conversation).agg(F.array_join(F.transform(ordered, lambda s: s.t), "\n").alias(out))

@@ -17,13 +17,15 @@ def in_range(df: DataFrame, column: str, start, end) -> DataFrame:
     return df.filter((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
 
 
-def null_cells(df: DataFrame) -> Column:
-    """Number of empty cells of a row; a NaN is empty too."""
-    def empty(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        return (c.isNull() | F.isnan(c)) if kind in ("double", "float") else c.isNull()
+def empty_cell(name: str, kind: str) -> Column:
+    """Whether a cell is empty: null, or NaN in a column of floating numbers."""
+    c = F.col(f"`{name}`")
+    return (c.isNull() | F.isnan(c)) if kind in ("double", "float") else c.isNull()
+
 
-    return reduce(lambda a, b: a + b, [empty(c, k).cast("int") for c, k in df.dtypes])
+def null_cells(df: DataFrame) -> Column:
+    """Number of empty cells of a row."""
+    return reduce(lambda a, b: a + b, [empty_cell(c, k).cast("int") for c, k in df.dtypes])
 
 
 def keep_filled(df: DataFrame, at_least: int = 3) -> DataFrame:
@@ -37,9 +39,9 @@ def mostly_null(df: DataFrame, more_than: int) -> DataFrame:
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop the columns that are null in every row; one aggregate finds them."""
-    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if filled[c]])
+    """Drop the columns that are empty in every row; one aggregate finds them."""
+    filled = df.agg(*[F.count(F.when(~empty_cell(c, k), 1)).alias(f"c{i}") for i, (c, k) in enumerate(df.dtypes)]).first()
+    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if filled[f"c{i}"]])
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -16,22 +16,18 @@ from ledgerline.session import hot_group_rows
 MAX_HOT_GROUPS = 2_000
 MAX_PARTS = 10_000
 
-# A row is taken to need at least this much: an input too small for one oversized
-# group is not counted.
-MIN_ROW_BYTES = 12
-
 _SALT, _PARTS = "__salt", "__parts"
 
 
 def oversized(df: DataFrame, keys: Sequence[str]) -> list[Row]:
     """Key values and row counts (``__n``) of groups with more rows than one task should get.
 
-    One count per key, skipped when the planner's size estimate leaves no room for such
-    a group. If more than MAX_HOT_GROUPS are oversized, those left out each hold less
+    One count per key, skipped when the table has no more rows than one group may have
+    (a hot key compresses too well for its bytes to tell). If more than MAX_HOT_GROUPS are oversized, those left out each hold less
     than 1/MAX_HOT_GROUPS of the rows.
     """
     limit = hot_group_rows(df.sparkSession)
-    if estimated_bytes(df) < limit * MIN_ROW_BYTES:
+    if df.count() <= limit:
         return []
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
     return counts.orderBy(F.desc("__n")).limit(MAX_HOT_GROUPS).collect()

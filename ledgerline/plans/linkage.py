@@ -164,7 +164,7 @@ def clean_followup(ledger: DataFrame) -> DataFrame:
     out = ledger.withColumns(fixed_cells)
     label = text.followup_label(f"`{AGENDA_COLUMN}`")
     return out.withColumns({
-        "CONCURRIO_binaria": dates.date_means_yes("CONCURRIO_"),
+        "CONCURRIO_binaria": dates.date_means_yes("CONCURRIO_", formats=("dd/MM/yyyy",)),
         "NO_CONCURRIO_CONSULTA_": F.col("CONCURRIO_").eqNullSafe(F.lit(fixed.PREVIOUS_NO)),
         AGENDA_COLUMN: label, "DESCARTADA_POR_RASTREADOR": text.followup_discarded(label)})
 

@@ -213,12 +213,9 @@ _PARSED = "coalesce(try_strptime(repaired, '%d/%m/%Y'), try_strptime(repaired, '
 def date_or_text(t):
     formats = ["dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
     repaired = mixed_dates(t).select("o_orderkey", dates.repair_serial_text("raw").alias("r"))
-    # A bare day number below the threshold would parse as a year.
-    year = F.col("r").rlike("^[0-9]+$")
-    cleaned = F.when(~year, F.col("r"))
     return repaired.select(
-        "o_orderkey", F.date_format(dates.parse_date(cleaned, formats), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
-        F.coalesce(dates.date_means_yes(cleaned, "SI", formats), F.col("r")).alias("attended"),
+        "o_orderkey", F.date_format(dates.parse_date("r", formats), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
+        dates.date_means_yes("r", "SI", formats).alias("attended"),
         F.col("r").eqNullSafe("NO").alias("refused"))
 
 

@@ -103,3 +103,17 @@ def test_labels(spark):
     with pytest.raises(ValueError, match="known"):
         values.named_label("otro")
     assert df.select(values.odds_ratio(F.lit(0.0))).first()[0] == math.exp(0)
+
+
+def test_odd_cells_are_not_dates(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions import dates
+
+    cells = ["1e12", "45000d", "1e7", "19999", "1234", "15/03/2024", "45000", "99999999", " 45000.5 ", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    out = {r.c: r for r in df.select("c", dates.serial_to_date("c").cast("string").alias("serial"),
+                                     dates.date_means_yes("c", formats=("dd/MM/yyyy",)).alias("yes")).collect()}
+    assert {c for c in cells if out[c].serial} == {"45000", " 45000.5 "}
+    assert {c for c in cells if out[c].yes == "SI"} == {"15/03/2024"}
+    assert df.select(F.count("c")).first()[0] == 9

@@ -96,3 +96,15 @@ def test_coverage_counts_null_registry_rows_as_orphans(spark):
     entities = spark.createDataFrame([("a",), ("b",)], "k string")
     registry = spark.createDataFrame([("a",), (None,), ("z",), ("z",)], "r string")
     assert tuples(link.coverage_report(entities, "k", {"r1": (registry, "r")})) == [("r1", 1, 1, 3)]
+
+
+def test_empty_columns_and_repeated_registry_keys(spark):
+    import pytest
+
+    from ledgerline.operators import link, rows
+
+    df = spark.createDataFrame([(1, float("nan"), None), (2, float("nan"), None)], "k long, x double, s string")
+    assert rows.drop_empty_columns(df).columns == ["k"]
+    registry = spark.createDataFrame([(1, "a"), (1, "b")], "rk long, v string")
+    with pytest.raises(Exception, match="not unique"):
+        link.lookup_unique(df, registry, "k", "rk", {"v": "v"}).count()
