@@ -77,4 +77,57 @@ QUERIES = {f.__name__: f for f in (
     op1_url_reputation, op2_winnowing, op3_bpe_automaton, op4_external_shuffle, op5_language_centroids, op6_subword_lattice,
     op7_robust_outliers, op8_order_minhash, op9_kneser_ney, op10_best_fit)}
 
-SQL: dict[str, str] = {}
+_STRENGTH = """1 / greatest(1 / 1001.0::DOUBLE, least(1 / 3.0::DOUBLE, CASE WHEN sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0) > 0
+        THEN sum((bad - n * mean) * (bad - n * mean) / n - mean * (1 - mean)) FILTER (n > 0) / sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0)
+        ELSE 0 END)) - 1 AS k"""
+
+
+def _level(child: str, units: str, parent: str) -> str:
+    """Shrunk means of a level (``<parent>_mean``) and its units of the next one (``<child>_units``)."""
+    return f"""
+{parent}_k AS (
+    SELECT {_STRENGTH}
+    FROM {parent}_units),
+{parent}_mean AS (SELECT u.{parent}, (k * mean + bad) / (k + n) AS mean FROM {parent}_units u, {parent}_k),
+{child}_units AS (SELECT u.*, m.mean FROM {units} u JOIN {parent}_mean m USING ({parent}))"""
+
+
+SQL: dict[str, str] = {"op1_url_reputation": f"""
+WITH rests AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rests),
+known AS (
+    SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT)::DOUBLE AS bad FROM labels
+    WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+counted AS (
+    SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '[^.]*$') AS suffix
+    FROM parts LEFT JOIN known USING (page_id) GROUP BY host),
+hosts AS (
+    SELECT *, CASE WHEN length(host) > length(suffix)
+        THEN regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix ELSE host END AS domain
+    FROM counted),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+suffix_units AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.2::DOUBLE) / (coalesce(sum(n), 0) + 2) FROM hosts) AS mean
+    FROM hosts GROUP BY suffix),{_level("domain", "domains", "suffix")},{_level("host", "hosts", "domain")},
+host_k AS (
+    SELECT {_STRENGTH}
+    FROM host_units),
+betas AS (SELECT host, n, k * mean + bad AS a, k * (1 - mean) + n - bad AS b FROM host_units, host_k),
+scores AS (
+    SELECT host, n::BIGINT AS labelled, round(a / (a + b), 6) AS posterior_mean,
+        round(a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS posterior_low
+    FROM betas),
+ruled AS (
+    SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM parts)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('net/', 'example.com/de/') OR (rule IS NULL AND posterior_low > 0.3) THEN 'block' ELSE 'allow' END AS verdict,
+    labelled, posterior_mean, posterior_low
+FROM ruled JOIN scores USING (host)"""}

@@ -7,12 +7,13 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import oracle
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from ledgerline.llm import best_fit, bpe_automaton, external_shuffle, url_reputation, winnowing
-from ledgerline.llm.queries import QUERIES, RULES
+from ledgerline.llm.queries import QUERIES, RULES, SQL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD_TEXTS = [None, "", " ", "\n\n", "a", "naïve café Σίσυφος ΣΑΣ İstanbul", "it's we'll I'D 12345 ½ ٣", "<|endoftext|> x<|startoftext|>",
@@ -277,3 +278,9 @@ def test_queries_return_a_row_per_document(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op2_winnowing", "op3_bpe_automaton", "op4_external_shuffle"):
         assert QUERIES[name](spark, sf_dir).count() == n
+
+
+def test_url_reputation_matches_sql(spark, sf_dir):
+    want = oracle.duck(sf_dir).execute(SQL["op1_url_reputation"]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in QUERIES["op1_url_reputation"](spark, sf_dir).collect()]
+    assert got and sorted(got, key=lambda r: r["page_id"]) == sorted(want, key=lambda r: r["page_id"])
