@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import count_if, names, order_value
-from ledgerline.operators.skew import join_unique
+from ledgerline.operators.skew import join_unique, with_null_salt
 
 # Oversized keys of the ledger, where they are known from an earlier count.
 Hot = Sequence[Row] | None
@@ -127,15 +127,20 @@ def outer_chain(tables: Sequence[tuple[DataFrame, str]], match_null_keys: bool =
 
     Columns that collide are dropped from both sides. Rows from a later table keep
     their own key; the first key stays null for them. Null keys match nothing unless
-    asked for, when each pair of null-keyed rows is a result row.
+    asked for, when each pair of null-keyed rows is a result row. Rows whose null key
+    matches nothing are dealt over the tasks by a salt.
     """
     merged, key = tables[0]
     for table, other_key in tables[1:]:
         clash = {c for c in table.columns if c in merged.columns}
         a = merged.withColumnRenamed(key, "__lk").drop(*(clash - {key}))
         b = table.withColumnRenamed(other_key, "__rk").drop(*(clash - {other_key}))
-        same = F.col("__lk").eqNullSafe(F.col("__rk")) if match_null_keys else F.col("__lk") == F.col("__rk")
-        merged = a.join(b, same, "full_outer")
+        if match_null_keys:
+            merged = a.join(b, F.col("__lk").eqNullSafe(F.col("__rk")), "full_outer")
+        else:
+            a, b = with_null_salt(a, "__lk", "__ls"), with_null_salt(b, "__rk", "__rs")
+            same = (F.col("__lk") == F.col("__rk")) & (F.col("__ls") == F.col("__rs"))
+            merged = a.join(b, same, "full_outer").drop("__ls", "__rs")
         if key == other_key:
             merged = merged.withColumn("__lk", F.coalesce("__lk", "__rk")).drop("__rk")
         else:

@@ -71,6 +71,16 @@ def _match_condition(on: Mapping[str, str], null_safe: bool) -> Column:
     return reduce(lambda a, b: a & b, [same(a, b) for a, b in on.items()])
 
 
+def with_null_salt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a number that is 0 where the key is filled and differs between rows where it is null.
+
+    The 0 is made from the key: a plain one is folded away for a key that is never null,
+    and the join would no longer be dealt by the number.
+    """
+    filled = F.col(f"`{key}`")
+    return df.withColumn(name, F.when(filled.isNotNull(), F.pmod(F.xxhash64(filled), F.lit(1))).otherwise(_row_hash(df)))
+
+
 def _row_hash(df: DataFrame) -> Column:
     """Hash that differs between rows, and between copies of a row in different partitions.
 

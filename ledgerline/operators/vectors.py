@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Question vectors held by every task are limited to this size; more come in blocks.
+# Question vectors sent to every task are limited to this size; more are dealt into blocks of it.
 QUERY_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 9
 
@@ -37,33 +37,31 @@ def topk_similar(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str,
                  vector: str = "embedding", max_query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k corpus rows most similar to each query by cosine: (query_id, corpus_id, score, rank).
 
-    Exact; the lower id wins ties. Each task scores its corpus rows against a block of
-    queries by matrix product and passes on k rows per query, so pairs never leave
-    the task. One count and one length bound the block held by the tasks; queries
-    beyond it are cut into more blocks, each run against the corpus.
+    Exact; the lower id wins ties. Pairs never leave a task: it scores its corpus rows
+    against queries by matrix product and passes on k rows per query. Queries of up to
+    ``max_query_bytes`` (one count and one length tell) are sent to all tasks; more are
+    dealt into blocks, and each block of queries meets each block of the corpus once.
     """
     queries = queries.select(F.col(query_id).alias("__q"), F.col(vector).alias("__v"))
     facts = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("dims")).first()
+    types = {query_id: queries.schema["__q"].dataType, corpus_id: corpus.schema[corpus_id].dataType}
+    ddl = ", ".join(f"`{c}` {t.simpleString()}" for c, t in types.items()) + ", score double"
     if not facts["n"]:
-        empty = corpus.limit(0).select(F.lit(None).cast(queries.schema["__q"].dataType).alias(query_id), corpus_id)
-        return empty.withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    blocks = -(-facts["n"] * facts["dims"] * 4 // max_query_bytes)
-    scored = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("__q"), F.lit(blocks)) == b)
-        found = _score_block(corpus, part, k, corpus_id, query_id, vector)
-        if found is not None:
-            scored = found if scored is None else scored.unionByName(found)
+        return corpus.sparkSession.createDataFrame([], ddl).withColumn("rank", F.lit(0))
+    row_bytes = facts["dims"] * 4
+    rows = corpus.select(F.col(corpus_id), F.col(vector))
+    if facts["n"] * row_bytes <= max_query_bytes:
+        scored = _against_all(rows, queries, k, corpus_id, query_id, vector, ddl)
+    else:
+        scored = _in_blocks(rows, queries, facts["n"], row_bytes, k, corpus_id, query_id, vector, ddl, max_query_bytes)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(corpus_id))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _score_block(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str, vector: str):
+def _against_all(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str, vector: str, ddl: str) -> DataFrame:
+    """Best rows of each task of the corpus; the queries' size has been checked."""
     block = queries.toPandas()
-    if block.empty:
-        return None
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (block["__q"].to_numpy(), _unit(np.stack(block["__v"].to_numpy()).astype("float64"))))
+    shared = corpus.sparkSession.sparkContext.broadcast((block["__q"].to_numpy(), _unit(np.stack(block["__v"].to_numpy()).astype("float64"))))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, unit = shared.value
@@ -75,9 +73,29 @@ def _score_block(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str,
         if kept is not None:
             yield kept
 
-    types = {query_id: queries.schema["__q"].dataType, corpus_id: corpus.schema[corpus_id].dataType}
-    ddl = ", ".join(f"`{c}` {t.simpleString()}" for c, t in types.items())
-    return corpus.select(corpus_id, vector).mapInPandas(best, f"{ddl}, score double")
+    return corpus.mapInPandas(best, ddl)
+
+
+def _in_blocks(corpus: DataFrame, queries: DataFrame, n: int, row_bytes: int, k: int, corpus_id: str, query_id: str, vector: str,
+               ddl: str, block_bytes: int) -> DataFrame:
+    """Best rows of each pair of a query block and a corpus block, both of bounded size."""
+    query_blocks = -(-n * row_bytes // block_bytes)
+    corpus_blocks = max(1, -(-corpus.count() * row_bytes // block_bytes))
+
+    def dealt(df: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+        marked = df.withColumn(own, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(own_blocks)))
+        return marked.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))))
+
+    q = dealt(queries, "__q", "__qb", query_blocks, "__cb", corpus_blocks)
+    c = dealt(corpus, corpus_id, "__cb", corpus_blocks, "__qb", query_blocks)
+
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or rows.empty:
+            return pd.DataFrame({query_id: asked["__q"].iloc[:0], corpus_id: rows[corpus_id].iloc[:0], "score": pd.Series(dtype="float64")})
+        unit = _unit(np.stack(asked["__v"].to_numpy()).astype("float64"))
+        return _keep_best(None, rows, asked["__q"].to_numpy(), unit, k, corpus_id, query_id, vector)
+
+    return q.groupBy("__qb", "__cb").cogroup(c.groupBy("__qb", "__cb")).applyInPandas(best, ddl)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -108,3 +108,22 @@ def test_empty_columns_and_repeated_registry_keys(spark):
     registry = spark.createDataFrame([(1, "a"), (1, "b")], "rk long, v string")
     with pytest.raises(Exception, match="not unique"):
         link.lookup_unique(df, registry, "k", "rk", {"v": "v"}).count()
+
+
+def test_outer_chain_deals_null_keys(spark):
+    """Rows that only a later table has keep a null first key; the next join spreads them and matches none of them."""
+    first = spark.range(20).select(F.col("id").alias("a"))
+    later = spark.range(1000, 9000).select(F.col("id").alias("b"), F.col("id").alias("x"))
+    last = spark.range(10, 30).select(F.col("id").alias("c"))
+    merged = link.outer_chain([(first, "a"), (later, "b"), (last, "c")])
+    rows = merged.collect()
+    assert len(rows) == 20 + 8000 + 10
+    assert sum(r.a is not None and r.c is not None for r in rows) == 10
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in link.outer_chain([(first, "a"), (later, "b"), (last, "c")])
+                 .filter("a IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert max(sizes) < 8000 / 2
