@@ -50,6 +50,7 @@ def horizon_label(days: ColumnLike, limit: int) -> Column:
     return F.coalesce(col(days) < limit, F.lit(False))
 
 
+# The binary labels, their columns and limits in days.
 LABELS: Mapping[str, tuple[str, int | None]] = {
     "defuncion": ("DEFUNCION_", None),
     "30dias": ("MIN_DIAS_IAE_MUERTE_", 30),

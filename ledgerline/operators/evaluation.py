@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import count_if
 from ledgerline.operators.running import Running, running
 
+# The metrics, in the order of the result.
 METRICS = ["accuracy", "precision", "recall", "f1", "f2", "pr_auc", "roc_auc", "bal_acc"]
 _ALL = "__all"
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,14 @@ FLAGS = {
 }
 
 
+def missing(c: str) -> Column:
+    """Whether a numeric cell is null or NaN."""
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+
+
 def plan_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scaled: bool) -> Features:
     """Note which numeric columns have gaps; one aggregate."""
-    counts = df.agg(*[count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in numeric]).first() \
+    counts = df.agg(*[count_if(missing(c)).alias(c) for c in numeric]).first() \
         if numeric else {}
     gaps = () if scaled else tuple(c for c in numeric if counts[c])
     return Features(tuple(numeric), tuple(categorical), scaled, gaps)
@@ -76,7 +83,7 @@ def most_frequent_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def model_inputs(df: DataFrame, spec: Features) -> DataFrame:
     """Numbers as doubles, a flag per column with gaps, and missing categories as their own value."""
     new: dict[str, Column] = {c: F.col(c).cast("double") for c in spec.numeric}
-    new |= {f"{c}_missing": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in spec.gaps}
+    new |= {f"{c}_missing": missing(c).cast("double") for c in spec.gaps}
     new |= {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.categorical}
     return df.withColumns(new)
 
@@ -94,7 +101,10 @@ def fit_features(df: DataFrame, spec: Features) -> PipelineModel:
         stages.append(Imputer(inputCols=list(spec.numeric), outputCols=filled, strategy="mean"))
         stages.append(VectorAssembler(inputCols=filled, outputCol="__num"))
         if spec.scaled:
-            stages.append(StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True, withStd=True))
+            n = df.count()  # the scaler divides by the sample deviation; the population one is wanted
+            stages.append(StandardScaler(inputCol="__num", outputCol="__scaled_by_sample", withMean=True, withStd=True))
+            stages.append(ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n / max(n - 1, 1))] * len(filled)),
+                                             inputCol="__scaled_by_sample", outputCol="__scaled"))
         inputs.append("__scaled" if spec.scaled else "__num")
         inputs += [f"{c}_missing" for c in spec.gaps]
     if spec.categorical:

@@ -91,12 +91,19 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str, right_key: str) ->
                        count_if(in_left & ~in_right).alias("left_only"), count_if(~in_left & in_right).alias("right_only"))
 
 
-def merge_deliveries(first: DataFrame, second: DataFrame, key: str, suffixes: tuple[str, str] = ("_1", "_2")) -> DataFrame:
+def merge_deliveries(first: DataFrame, second: DataFrame, key: str, suffixes: tuple[str, str] = ("_1", "_2"),
+                     repeated: bool = False) -> DataFrame:
     """Inner join of two deliveries; shared columns get suffixes.
 
-    For a key that repeats on both sides use :func:`pair_agreement`, which counts the
-    pairs without making them.
+    A key that repeats on both sides is an error unless ``repeated`` is set, as it gives
+    every pair of its rows; :func:`pair_agreement` counts pairs without making them.
     """
+    if not repeated:
+        twice = [df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col(key).isNotNull()).select(key)
+                 for df in (first, second)]
+        found = twice[0].join(twice[1], key, "left_semi").first()
+        if found is not None:
+            raise ValueError(f"{key} {found[0]!r} repeats on both sides")
     shared = {c for c in first.columns if c in second.columns and c != key}
     a = first.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     b = second.withColumnsRenamed({c: c + suffixes[1] for c in shared})

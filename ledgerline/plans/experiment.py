@@ -16,7 +16,7 @@ from ledgerline.operators import evaluation as ev
 from ledgerline.operators import models as md
 from ledgerline.operators import stats
 from ledgerline.operators.features import (
-    Features, apply_features, encode_inputs, feature_names, fit_features, model_inputs, plan_features,
+    Features, apply_features, encode_inputs, feature_names, fit_features, missing, model_inputs, plan_features,
 )
 from ledgerline.sources.shared import stored
 from ledgerline.sources.spec import Experiment
@@ -151,7 +151,7 @@ def permutation_importance(data: Folded, fitted: Fitted, ordinal: str, metric: s
     base = ev.metrics(fitted.score(data.rows), md.SCORE, md.LABEL, threshold).first()[metric]
     copies = ev.permuted(data.rows, data.spec.columns, ordinal, repeats, seed)
     if data.spec.gaps:
-        copies = copies.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in data.spec.gaps})
+        copies = copies.withColumns({f"{c}_missing": missing(c).cast("double") for c in data.spec.gaps})
     scores = ev.metrics(fitted.score(copies), md.SCORE, md.LABEL, threshold, ["feature", "repeat"])
     drop = F.lit(base) - F.col(metric)
     return scores.groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std")).orderBy(

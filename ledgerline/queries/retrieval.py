@@ -98,16 +98,16 @@ def template_sql(template: str, values: dict[str, str]) -> str:
 
 @query(f"""WITH l AS (SELECT conv_id, max(turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id),
  q AS (SELECT c.conv_id, text AS question FROM conversations c JOIN l ON l.conv_id = c.conv_id AND turn = last_user),
- b AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS rn FROM conversations c
+ b AS (SELECT c.* FROM conversations c
   JOIN l ON l.conv_id = c.conv_id AND turn < last_user),
- h AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM b WHERE rn <= 5 GROUP BY conv_id)
+ h AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM b GROUP BY conv_id)
 SELECT q.conv_id, {template_sql(fixed.PROMPT_WITH_HISTORY, {"context": "''", "chat_history": "coalesce(history, '')", "question": "question"})}
  AS prompt FROM q LEFT JOIN h ON h.conv_id = q.conv_id""")
 def history_prompts(t):
     last_user = t.conversations.filter(F.col("role") == "user").groupBy("conv_id").agg(
         F.max("turn").alias("last_user"), F.max_by("text", "turn").alias("question"))
     before = t.conversations.join(last_user, "conv_id").filter(F.col("turn") < F.col("last_user"))
-    asked = last_user.join(prompts.histories(before, "conv_id", "turn", 5), "conv_id", "left")
+    asked = last_user.join(prompts.histories(before, "conv_id", "turn", None), "conv_id", "left")
     prompt = prompts.render(fixed.PROMPT_WITH_HISTORY, {"context": F.lit(""), "chat_history": "chat_history", "question": "question"})
     return asked.select("conv_id", prompt.alias("prompt"))
 

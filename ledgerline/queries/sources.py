@@ -8,9 +8,9 @@ from ledgerline.functions import fixed_values as fixed
 from ledgerline.operators.prompts import source_report
 from ledgerline.queries.cleaning import PROVIDERS, _LIST_CLASS, parts_sql, parts_with
 from ledgerline.queries.registry import query
-from ledgerline.sources.documents import HTML_BREAKS, HTML_ENTITIES, HTML_HIDDEN, HTML_TAG, html_text
-from ledgerline.sources.shared import spread, stored
-from ledgerline.sources.tables import provider_table
+from ledgerline.sources.documents import HTML_BREAKS, HTML_ENTITIES, HTML_HIDDEN, HTML_TAG, html_text, store_vectors
+from ledgerline.sources.shared import new_path, spread
+from ledgerline.sources.tables import provider_table, read_table, write_table
 
 
 @query(f"""SELECT v, coalesce({_LIST_CLASS}, 'nan') AS provider_class FROM (SELECT DISTINCT v FROM ({parts_sql(PROVIDERS, 'v')}))""")
@@ -20,13 +20,16 @@ def provider_classes(t):
 
 @query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
 def csv_round_trip(t):
-    return stored(t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), "csv")
+    part = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    path = write_table(part, new_path(part.sparkSession) + ".csv", "csv")
+    return read_table(part.sparkSession, path, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double")
 
 
-@query("SELECT vec_id, array_to_string(embedding, ' ') IS NOT NULL AS filled, len(embedding)::INT AS dims, label FROM embeddings")
+@query("SELECT vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1)::INT AS place, label FROM embeddings")
 def vector_round_trip(t):
-    return stored(t.embeddings).select("vec_id", F.col("embedding").isNotNull().alias("filled"),
-                                       F.size("embedding").alias("dims"), "label")
+    kept = store_vectors(t.embeddings, new_path(t.embeddings.sparkSession))
+    cells = kept.select("vec_id", F.posexplode("embedding").alias("place", "value"), "label")
+    return cells.select("vec_id", F.col("value").cast("double").alias("value"), (F.col("place") + 1).alias("place"), "label")
 
 
 def html_sql(c: str) -> str:

@@ -57,23 +57,25 @@ def describe(t):
     return facts.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
-QUIET_SQL = "SELECT * FROM orders WHERE o_totalprice > 480000"
+QUIET_SQL = "SELECT CASE WHEN o_totalprice > 480000 THEN o_orderdate END AS o_orderdate, o_orderpriority FROM orders"
 
 
-@query(f"""WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE + 6 AS week_end, count(*) AS n FROM ({QUIET_SQL}) GROUP BY 1),
+@query(f"""WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE + 6 AS week_end, count(*) AS n FROM ({QUIET_SQL}) WHERE o_orderdate IS NOT NULL GROUP BY 1),
  s AS (SELECT unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY))::DATE AS week_end FROM w)
 SELECT s.week_end::VARCHAR AS week_end, coalesce(n, 0) AS n FROM s LEFT JOIN w ON w.week_end = s.week_end""")
 def weekly_counts(t):
-    counts = stats.weekly_counts(t.orders.filter(F.col("o_totalprice") > 480000), "o_orderdate")
+    gaps = t.orders.withColumn("o_orderdate", F.when(F.col("o_totalprice") > 480000, F.col("o_orderdate")))
+    counts = stats.weekly_counts(gaps, "o_orderdate")
     return counts.withColumn("week_end", F.col("week_end").cast("string"))
 
 
-@query(f"""WITH m AS (SELECT last_day(o_orderdate) AS month_end, count(*) AS n FROM ({QUIET_SQL}) WHERE o_orderpriority = '5-LOW' GROUP BY 1),
+@query(f"""WITH m AS (SELECT last_day(o_orderdate) AS month_end, count(*) AS n FROM ({QUIET_SQL}) WHERE o_orderdate IS NOT NULL AND o_orderpriority = '5-LOW' GROUP BY 1),
  s AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(month_end)), max(month_end)::TIMESTAMP, INTERVAL 1 MONTH))::DATE) AS month_end FROM m)
 SELECT s.month_end::VARCHAR AS month_end, coalesce(n, 0) AS n FROM s LEFT JOIN m ON m.month_end = s.month_end""")
 def monthly_counts(t):
-    rare = t.orders.filter((F.col("o_totalprice") > 480000) & (F.col("o_orderpriority") == "5-LOW"))
-    return stats.monthly_counts(rare, "o_orderdate").withColumn("month_end", F.col("month_end").cast("string"))
+    rare = (F.col("o_totalprice") > 480000) & (F.col("o_orderpriority") == "5-LOW")
+    gaps = t.orders.withColumn("o_orderdate", F.when(rare, F.col("o_orderdate")))
+    return stats.monthly_counts(gaps, "o_orderdate").withColumn("month_end", F.col("month_end").cast("string"))
 
 
 @query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS part FROM orders)

@@ -27,13 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path under the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     """Write to a new place under the shared folder and read back.
 
     The result is computed once, lost executors cost no recomputation of it, and
     later reads take only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.format(fmt).save(path)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 

@@ -7,17 +7,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import provider_list_class
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet or CSV by extension; CSV has a header."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
+    """Parquet or CSV by extension; CSV has a header.
+
+    ``multiline`` reads CSV cells with line breaks; each file is then one task.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
     if path.endswith(".csv"):
-        return reader.csv(path, header=True, multiLine=True, escape='"')
+        return reader.csv(path, header=True, multiLine=multiline, escape='"')
     return reader.parquet(path)
 
 
@@ -28,14 +32,15 @@ def list_directory(spark: SparkSession, directory: str, files_only: bool = False
     return sorted(s.getPath().toString() for s in found if s.isFile() or not files_only)
 
 
-def read_tables(spark: SparkSession, directory: str, schemas: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+def read_tables(spark: SparkSession, directory: str, schemas: Mapping[str, str] | None = None,
+                multiline: bool = False) -> dict[str, DataFrame]:
     """Every parquet or CSV table of a directory, by name."""
     schemas = schemas or {}
     tables = {}
     for path in list_directory(spark, directory):
         name, ext = os.path.splitext(os.path.basename(path))
         if ext in (".parquet", ".csv"):
-            tables[name] = read_table(spark, path, schemas.get(name))
+            tables[name] = read_table(spark, path, schemas.get(name), multiline)
     return tables
 
 
@@ -95,13 +100,24 @@ def load_delivery(tables: Mapping[str, DataFrame], number: int) -> dict[str, Dat
 
 
 def with_row_order(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """Number rows in file order.
+    """Number rows in the order of the files, by path, and of the rows in each.
 
-    Spark keeps no row order after a shuffle, so it is written down at load. The ids
-    grow in file order within and across the partitions of a scan; store the result
-    before relying on them again.
+    Spark keeps no row order after a shuffle, and packs the splits of a scan by size, so
+    the order of its tasks is not that of the files. Rows are counted per split first (no
+    column is read for that); the window over these counts has one row per split.
+    Rows that do not come straight from files are numbered as they stand.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    row = F.monotonically_increasing_id()
+    try:
+        scan = df.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__row": row})
+    except AnalysisException:  # not a scan of files
+        return df.withColumn(name, row)
+    split = ["__file", "__start"]
+    splits = scan.groupBy(*split).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select(*split, (before - F.col("__first")).alias("__shift"))
+    number = (F.col("__row") + F.col("__shift")).alias(name)
+    return scan.join(placed, split).select(*[F.col(f"`{c}`") for c in df.columns if c != name], number)
 
 
 def stamped_name(base: str, number: int, at: datetime | None = None) -> str:

@@ -106,6 +106,22 @@ def test_ledger_rows(spark):
     assert got[5]["EDAD_"] == 23 and got[5]["PRESTADOR_PUBLICO_"] is False
 
 
+def test_files_give_the_row_order(spark, tmp_path):
+    expected, split = linkage.run(_tables(spark, 2), 2), {}
+    for name, table in _tables(spark, 2).items():
+        rows = table.orderBy("row_no").collect() if "row_no" in table.columns else table.collect()
+        # The first file is the smaller one, so a scan starts with the second.
+        for part, some in (("1", rows[:1]), ("2", rows[1:])):
+            data = spark.createDataFrame(some, table.schema).drop("row_no")
+            data.coalesce(1).write.mode("append").parquet(str(tmp_path / name / part))
+        split[name] = spark.read.parquet(*[str(tmp_path / name / part) for part in "21"])
+    found = linkage.run(split, 2)
+    for kind in ("entities", "coverage"):
+        names = expected[kind].columns
+        assert found[kind].columns == names
+        assert found[kind].exceptAll(expected[kind]).count() == expected[kind].exceptAll(found[kind]).count() == 0
+
+
 def test_duplicate_death_record_is_an_error(spark):
     tables = load_delivery(_tables(spark, 1), 1)
     tables["deaths"] = tables["deaths"].unionByName(tables["deaths"])

@@ -127,3 +127,12 @@ def test_outer_chain_deals_null_keys(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert max(sizes) < 8000 / 2
+
+
+def test_key_repeated_on_both_sides_is_an_error(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (None, "n"), (None, "m")], "k int, v string")
+    b = spark.createDataFrame([(1, "z"), (None, "o"), (None, "p")], "k int, v string")
+    assert link.merge_deliveries(a, b, "k").count() == 2
+    with pytest.raises(ValueError, match="repeats on both sides"):
+        link.merge_deliveries(a, b.union(b), "k")
+    assert link.merge_deliveries(a, b.union(b), "k", repeated=True).count() == 4

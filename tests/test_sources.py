@@ -14,7 +14,7 @@ def test_directory_of_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", text\nwith lines'), (2, None)], "i int, t string")
     write_table(df, str(tmp_path / "one.csv"), "csv")
     write_table(df, str(tmp_path / "two.parquet"))
-    tables = read_tables(spark, str(tmp_path), {"one": "i int, t string"})
+    tables = read_tables(spark, str(tmp_path), {"one": "i int, t string"}, multiline=True)
     assert set(tables) == {"one", "two"}
     for t in tables.values():
         assert sorted(map(tuple, t.collect())) == sorted(map(tuple, df.collect()))
@@ -38,6 +38,23 @@ def test_names_and_order(spark):
     assert [r.c for r in df.orderBy("row_no").collect()] == list("xyz")
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_row_order_is_file_order(spark, tmp_path, fmt):
+    for name, start, end in (("a", 0, 5), ("b", 5, 20_000), ("c", 20_000, 20_003)):
+        spark.range(start, end, 1, 1).write.format(fmt).option("header", True).save(str(tmp_path / name))
+    files = [next((tmp_path / name).glob(f"part-*.{fmt}")) for name in "abc"]
+    for name, f in zip("abc", files):
+        f.rename(tmp_path / f"{name}.{fmt}")
+    paths = [str(tmp_path / f"{name}.{fmt}") for name in "cba"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = spark.read.schema("id long").option("header", True).format(fmt).load(paths)
+        got = [r.key for r in stored(with_row_order(df.withColumnRenamed("id", "key"))).orderBy("row_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(range(20_003))
+
+
 def test_provider_table(spark):
     df = spark.createDataFrame([("ASSE",), ("ASSE",), ("No indicado",), (None,), ("B|ASSE",)], "p string")
     got = {r.p: r.provider_class for r in provider_table(df, "p").collect()}
