@@ -1,79 +1,151 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Counts of trigrams, of the contexts they continue and of the discounts come from grouped
-sums and joins on the n-gram keys. The trusted text is a bounded sample, so the finished
-count tables are bounded too; they are cut into shards by their context, and each batch
-of documents is joined with one shard after the other. A document is kept if its
-perplexity is within a quantile of all documents of its language.
+sums and joins on the n-gram keys. All trusted text is counted, and the model stays in
+tables: the distinct trigrams of each document, with how often it has them, are joined with
+the tables of trigrams, contexts, bigrams and words, and the logs are summed by document.
+A document is kept if its perplexity is within a quantile of all documents of its language.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, texts
+from ledgerline.llm.common import arrow_map, sized, texts
 from ledgerline.sources.shared import stored
 
 START, END, UNKNOWN = 0, 1, 2
 _FIRST_WORD = 3
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_GAP = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 @dataclass(frozen=True)
 class KneserNey:
     """Parameters.
 
-    The model is trained on at most ``trusted`` documents, taken in the order of a hash
-    of their ids as long as they have at most ``tokens`` words together; words of more
-    than ``word_bytes`` bytes count as unknown. ``quantile`` is the share of each
-    language's documents whose perplexity is accepted. Tables have ``shards`` shards.
+    Words of more than ``word_bytes`` bytes count as unknown. ``quantile`` is the share of
+    each language's documents whose perplexity is accepted. Tables of words of up to
+    ``broadcast_rows`` rows are sent to all tasks, larger ones are joined.
     """
 
-    trusted: int = 6000
-    tokens: int = 1_000_000
     word_bytes: int = 64
     quantile: float = 0.99
-    shards: int = 4
+    broadcast_rows: int = 1_000_000
 
 
 @dataclass
 class Tables:
-    """Words' ids; probabilities of unigrams; sorted keys of bigrams and trigrams with discounted shares and back-off weights."""
+    """Stored tables of natural logs; words are known by a 64-bit hash.
 
-    words: dict[bytes, int]
-    unigram: np.ndarray
-    weight1: np.ndarray
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per shard: key, discounted share, weight of the pair as a context
-    triples: list[tuple[np.ndarray, np.ndarray]]  # per shard: key, discounted share
+    ``p3`` has the probabilities of the trigrams seen, ``w2`` the back-off weights of their
+    contexts, ``p2`` and ``w1`` those of bigrams, ``p1`` those of words and ``rest`` that of
+    a word not in it. ``unknown`` tells if unknown words occur in the text.
+    """
+
+    sample: DataFrame
+    p: KneserNey
+    p3: DataFrame
+    w2: DataFrame
+    p2: DataFrame
+    w1: DataFrame
+    p1: DataFrame
+    rest: float
+    unknown: bool
+
+    @cached_property
+    def words(self) -> dict[bytes, int]:
+        """Numbers of the words, for looking at small models; nothing here needs them."""
+        found = {w for r in self.sample.select("text").toLocalIterator() for w in lower_words(r.text) if len(w) <= self.p.word_bytes}
+        return {w: i for i, w in enumerate(sorted(found), _FIRST_WORD)}
 
 
 def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _sample(docs: DataFrame, trusted: DataFrame, p: KneserNey) -> DataFrame:
-    """Text of the trusted documents that the model is trained on."""
-    drawn = trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.trusted)
-    mine = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id", "left_semi")
-
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1), base, np.uint64))))
+
+
+def hashed_words(data: bytes, word_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each lower-cased word of UTF-8 text; that of a word of too many bytes is UNKNOWN."""
+    points = _LOWER[np.frombuffer(data, np.uint8)]
+    edge = np.diff(np.concatenate(([True], _GAP[points], [True])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size = end - start
+    h = np.zeros(len(start), np.uint64)
+    powers = _powers(_BASE, word_bytes)
+    with np.errstate(over="ignore"):
+        order = np.argsort(-size, kind="stable")  # words still going come first
+        at, longest = start[order], -size[order]
+        for j in range(min(word_bytes, int(size.max(initial=0)))):
+            live = order[:np.searchsorted(longest, -j, side="left")]
+            h[live] += (points[start[live] + j].astype(np.uint64) + np.uint64(1)) * powers[j]
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+    h[size > word_bytes] = UNKNOWN
+    return start, h.view(np.int64)
+
+
+def _grams(docs: DataFrame, p: KneserNey) -> DataFrame:
+    """The distinct trigrams (u, v, w) of each row with their number n; one of a row's has its doc_id and lang."""
     def make():
+        context = TaskContext.get()
+        first, seen = context.partitionId() << 36, 0
+
         def work(batch: pa.RecordBatch) -> dict:
-            words = [lower_words(t) for t in texts(batch)]
-            short = [[w.decode("utf-8", "replace") if len(w) <= p.word_bytes else "" for w in ws] for ws in words]
-            return {"doc_id": batch.column("doc_id"), "words": short}
+            nonlocal seen
+            data = [t.encode("utf-8", "surrogatepass") for t in texts(batch)]
+            begins = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
+            start, h = hashed_words(b" ".join(data), p.word_bytes)
+            doc = np.searchsorted(begins, start, side="right") - 1
+            n = np.bincount(doc, minlength=len(data))
+            ends = np.cumsum(n + 3)
+            ids = np.full(int(ends[-1]), START, np.int64)
+            ids[np.arange(len(h)) + 3 * doc + 2] = h
+            ids[ends - 1] = END
+            of = np.repeat(np.arange(len(data)), n + 3)
+            keep = np.flatnonzero(of[2:] == of[:-2])  # no trigram goes over two documents
+            u, v, w, of = ids[keep], ids[keep + 1], ids[keep + 2], of[keep]
+            with np.errstate(over="ignore"):
+                key = np.zeros(len(u), np.uint64)
+                for x in (of, u, v, w):
+                    key = (key ^ (key >> np.uint64(32))) * _MIX + x.view(np.uint64)
+                key = (key ^ (key >> np.uint64(31))) * _MIX
+            _, at, times = np.unique(key, return_index=True, return_counts=True)
+            order = np.argsort(at)
+            at, times = at[order], times[order]
+            leads = np.concatenate(([True], of[at][1:] != of[at][:-1]))
+            whose = pa.array(of[at], mask=~leads)
+            rows = first + seen + of[at]
+            seen += len(data)
+            return {"row": rows, "u": u[at], "v": v[at], "w": w[at], "n": times.astype(np.int32),
+                    "doc_id": batch.column("doc_id").take(whose), "lang": batch.column("lang").take(whose)}
 
         return work
 
-    held = stored(arrow_map(mine, "doc_id long, words array<string>", make))
-    sizes = held.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("words").alias("n")).orderBy("h", "doc_id").limit(p.trusted).toArrow().to_pandas()
-    fit = sizes[sizes["n"].cumsum() <= p.tokens]
-    ids = docs.sparkSession.createDataFrame([(int(i),) for i in fit["doc_id"].unique()], "doc_id long")
-    return held.join(F.broadcast(ids), "doc_id", "left_semi").select("words")  # at most p.trusted ids
+    return arrow_map(docs, "row long, u long, v long, w long, n int, doc_id long, lang string", make)
+
+
+def _sample(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The documents that the model is trained on."""
+    ids = trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+    mine = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mine.join(ids, "doc_id", "left_semi")
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -87,135 +159,73 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
 
 
-def _smoothed(counts: DataFrame, context: list[str], d: tuple[float, float, float]) -> tuple[DataFrame, DataFrame]:
-    """(counts with their discounted share, contexts with their back-off weight), joined by context."""
-    c = F.col("c")
-    off = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
-    weights = totals.select(*context, (F.col("off") / F.col("total")).alias("weight"))
-    shares = counts.join(totals, context).withColumn("share", (c - off) / F.col("total"))
-    return shares.drop("total", "off", "c"), weights
-
+def _off(d: tuple[float, float, float]) -> Column:
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
-def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Tables:
-    """Model of the texts of the documents whose ids are in ``trusted``; without any, all words are equally likely."""
-    spark = docs.sparkSession
-    sample = _sample(docs, trusted, p)
-    found = sample.select(F.explode("words").alias("w")).filter("w <> ''").groupBy("w").count().orderBy("w")
-    words = found.select("w").toArrow().column("w").to_pylist()  # bounded by the tokens of the sample
-    vocabulary = {w.encode(): i for i, w in enumerate(words, _FIRST_WORD)}
-    size = len(words) + _FIRST_WORD
-    shared = spark.sparkContext.broadcast(vocabulary)
 
-    def make():
-        place = shared.value
+def _level(counts: DataFrame, context: list[str], below: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(logs of the interpolated probabilities, logs of the back-off weights by context), stored; ``below`` has the level below."""
+    off = _off(_discounts(counts))
+    totals = stored(counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(off).alias("off")))
+    joined = counts.join(totals.withColumn("weight", F.col("off") / F.col("total")).drop("off"), context).join(below, key)
+    p = (F.col("c") - off) / F.col("total") + F.col("weight") * F.exp("lower")
+    return stored(joined.select(*context, "w", F.log(p).alias("lp"))), totals.select(*context, F.log(F.col("off") / F.col("total")).alias("lw"))
 
-        def work(batch: pa.RecordBatch) -> dict:
-            out = {"u": [], "v": [], "w": []}
-            for words in batch.column("words").to_pylist():
-                ids = [START, START, *[place.get(w.encode(), UNKNOWN) for w in words], END]
-                out["u"] += ids[:-2]
-                out["v"] += ids[1:-1]
-                out["w"] += ids[2:]
-            return out
 
-        return work
-
-    grams = arrow_map(sample, "u int, v int, w int", make)
-    tri = stored(grams.groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
+def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Tables:
+    """Model of the texts of the documents whose ids are in ``trusted``; without any, all words are equally likely."""
+    sample = _sample(docs, trusted)
+    grams = _grams(sample.withColumn("lang", F.lit(None).cast("string")), p)
+    tri = stored(grams.groupBy("u", "v", "w").agg(F.sum("n").alias("c")))
     bi = stored(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")))  # continuation counts
     uni = stored(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    tri_share, tri_weight = _smoothed(tri, ["u", "v"], _discounts(tri))
-    bi_share, bi_weight = _smoothed(bi, ["v"], _discounts(bi))
-    d1 = _discounts(uni)
-
-    c1 = np.zeros(size)
-    frame = uni.toArrow()
-    c1[frame["w"].to_numpy()] = frame["c"].to_numpy()
-    seen, total = c1 > 0, c1.sum()
-    off = np.where(c1 == 1, d1[0], np.where(c1 == 2, d1[1], d1[2])) * seen
-    possible = size - 1  # all but the start; unknown stands for one word more
-    unigram = ((c1 - off) / total if total else np.zeros(size)) + (off.sum() / total if total else 1.0) / possible
-    weight1 = np.ones(size)
-    frame = bi_weight.toArrow()
-    weight1[frame["v"].to_numpy()] = frame["weight"].to_numpy()
-
-    def keyed(frame: pa.Table, first: str, second: str) -> np.ndarray:
-        return frame[first].to_numpy().astype(np.int64) << 32 | frame[second].to_numpy().astype(np.int64)
-
-    pairs = bi_share.join(tri_weight.toDF("v", "w", "weight"), ["v", "w"], "full").select(
-        "v", "w", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("weight", F.lit(1.0)).cast("float").alias("weight")).toArrow()
-    key = keyed(pairs, "v", "w")
-    order = np.argsort(key)
-    key, share, weight = key[order], pairs["share"].to_numpy()[order], pairs["weight"].to_numpy()[order]
-    frame = tri_share.select("u", "v", "w", F.col("share").cast("float").alias("share")).toArrow()
-    if len(key):
-        context = np.searchsorted(key, keyed(frame, "u", "v"))
-        key3 = context << 32 | frame["w"].to_numpy().astype(np.int64)
-    else:
-        key3 = np.empty(0, np.int64)
-    order = np.argsort(key3)
-    key3, share3 = key3[order], frame["share"].to_numpy()[order]
-    cuts2 = [len(key) * i // p.shards for i in range(p.shards + 1)]
-    cuts3 = [len(key3) * i // p.shards for i in range(p.shards + 1)]
-    return Tables(vocabulary, unigram, weight1,
-                  [(key[a:b], share[a:b], weight[a:b]) for a, b in zip(cuts2, cuts2[1:])],
-                  [(key3[a:b], share3[a:b]) for a, b in zip(cuts3, cuts3[1:])])
+    off = _off(_discounts(uni))
+    known = F.count_if(~F.col("w").isin(END, UNKNOWN))
+    sums = uni.agg(F.sum("c").alias("total"), F.sum(off).alias("off"), known.alias("words"), F.count_if(F.col("w") == UNKNOWN).alias("unknown")).first()
+    possible = sums.words + _FIRST_WORD - 1  # all but the start; unknown stands for one word more
+    rest = sums.off / sums.total / possible if sums.total else 1.0 / possible
+    p1 = stored(uni.select("w", F.log((F.col("c") - off) / F.lit(float(sums.total or 1)) + F.lit(rest)).alias("lp")))
+    p2, w1 = _level(bi, ["v"], sized(p1, p.broadcast_rows).withColumnRenamed("lp", "lower"), ["w"])
+    p3, w2 = _level(tri, ["u", "v"], p2.withColumnRenamed("lp", "lower"), ["v", "w"])
+    return Tables(sample, p, p3, w2, p2, w1, p1, math.log(rest), bool(sums.unknown))
+
+
+def _logs(grams: DataFrame, t: Tables) -> DataFrame:
+    """``grams`` with ``log``, the natural log of p(w | u, v)."""
+    named = lambda df, **to: df.withColumnsRenamed(to)
+    small = lambda df: sized(df, t.p.broadcast_rows)
+    p1 = small(t.p1)
+    if t.unknown:  # otherwise a word that is not in the tables has no entries, as unknown has none
+        for x in ("u", "v", "w"):
+            own = p1.select(F.col("w").alias(x), F.lit(True).alias("__known"))
+            grams = grams.join(own, x, "left").withColumn(x, F.when((F.col("__known")) | F.col(x).isin(START, END), F.col(x)).otherwise(F.lit(UNKNOWN).cast("long"))).drop("__known")
+    out = grams.join(named(t.p3, lp="lp3"), ["u", "v", "w"], "left")
+    hit = F.col("lp3").isNotNull()  # what is found goes on under keys of its own row, which fill no partition
+    out = out.select("*", *(F.when(hit, F.col("row")).otherwise(F.col(x)).alias(f"__{x}") for x in "uvw")).drop("u", "v", "w")
+    out = out.join(named(t.w2, u="__u", v="__v", lw="lw2"), ["__u", "__v"], "left").drop("__u")
+    out = out.join(named(t.p2, v="__v", w="__w", lp="lp2"), ["__v", "__w"], "left")
+    out = out.join(named(small(t.w1), v="__v", lw="lw1"), "__v", "left").join(named(p1, w="__w", lp="lp1"), "__w", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    back = zero("lw2") + F.coalesce("lp2", zero("lw1") + F.coalesce("lp1", F.lit(t.rest)))
+    return out.withColumn("log", F.coalesce("lp3", back))
 
 
 def log_probabilities(t: Tables, ids: np.ndarray) -> np.ndarray:
-    """Natural logs for each id after the first two, which are context only."""
-    u, v, w = ids[:-2], ids[1:-1], ids[2:]
-    share2, context, weight2 = np.zeros(len(w)), np.full(len(w), -1, np.int64), np.ones(len(w))
-    pair, before = v << 32 | w, u << 32 | v
-    first = 0
-    for key, share, weight in t.pairs:
-        if len(key):
-            at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
-            hit = key[at] == pair
-            share2[hit] = share[at[hit]]
-            at = np.minimum(np.searchsorted(key, before), len(key) - 1)
-            hit = key[at] == before
-            context[hit], weight2[hit] = at[hit] + first, weight[at[hit]]
-        first += len(key)
-    p2 = share2 + t.weight1[v] * t.unigram[w]
-    share3 = np.zeros(len(w))
-    triple = context << 32 | w
-    for key, share in t.triples:
-        if len(key):
-            at = np.minimum(np.searchsorted(key, triple), len(key) - 1)
-            hit = key[at] == triple
-            share3[hit] = share[at[hit]]
-    return np.log(share3 + weight2 * p2)
+    """Natural logs for each id (of ``t.words``) after the first two, which are context only."""
+    spark, words = t.p3.sparkSession, list(t.words)
+    hashes = np.concatenate(([START, END, UNKNOWN], hashed_words(b" ".join(words), t.p.word_bytes)[1])).astype(np.int64)
+    h = hashes[ids].tolist()
+    grams = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(h, h[1:], h[2:]))], "row long, u long, v long, w long")
+    found = {r.row: r.log for r in _logs(grams, t).select("row", "log").collect()}
+    return np.array([found[i] for i in range(len(found))])
 
 
 def perplexities(docs: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, lang, n_tokens (words and one end), perplexity of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)  # bounded by the tokens of the sample
-
-    def make():
-        t = shared.value
-        place = t.words.get
-
-        def work(batch: pa.RecordBatch) -> dict:
-            ids, ends = [], []
-            for text in texts(batch):
-                ids += [START, START]
-                ids += [place(w, UNKNOWN) for w in lower_words(text)]
-                ids.append(END)
-                ends.append(len(ids))
-            ends = np.array(ends)
-            starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-            logs = np.concatenate(([0.0, 0.0], log_probabilities(t, np.array(ids, np.int64))))
-            logs[starts] = logs[starts + 1] = 0.0  # context only, behind another document's end
-            n = ends - starts - 2
-            total = np.add.reduceat(logs, starts)
-            return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_tokens": n, "perplexity": np.exp(-total / n)}
-
-        return work
-
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
-    return arrow_map(rows, "doc_id long, lang string, n_tokens long, perplexity double", make)
+    grams = _grams(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), tables.p)
+    sums = _logs(grams, tables).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_tokens"),
+                                                   F.sum(F.col("n") * F.col("log")).alias("total"))
+    return sums.select("doc_id", "lang", "n_tokens", F.exp(-F.col("total") / F.col("n_tokens")).alias("perplexity"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> DataFrame:

@@ -290,6 +290,24 @@ def test_classifier_keeps_a_quantile_of_each_language(spark, sf_dir):
     assert kneser_ney.classify(docs.limit(0), trusted).count() == 0
 
 
+def test_all_trusted_text_is_counted(spark):
+    rng = random.Random(10)
+    texts = ["start " + " ".join("w%d" % rng.randrange(1000) for _ in range(300_000))] * 4  # one overlong text, and copies
+    texts += ["only%d here" % i for i in range(6100)] + ["x" * 70 + " b", "here zz", "y" * 80]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    tables = kneser_ney.train(docs, docs.select("doc_id").filter(f"doc_id < {len(texts) - 2}"))
+    assert len(tables.words) == 1000 + 1 + 6100 + 2
+    out = {r.doc_id: r for r in kneser_ney.perplexities(docs.filter("doc_id > 3"), tables).collect()}
+    assert len(out) == len(texts) - 4 and out[len(texts) - 1].n_tokens == 2
+    split = [[w if len(w) <= 64 else None for w in t.split()] for t in texts]
+    number = {w: tables.words[w.encode()] for w in {w for s in split[:-2] for w in s} - {None}}
+    ids = [[0, 0, *[number.get(w, 2) for w in s], 1] for s in split]
+    p, _ = brute_kneser_ney(ids[:-2])
+    for i in (4, 3000, 6103, len(texts) - 3, len(texts) - 2, len(texts) - 1):
+        logs = [math.log(p(t)) for t in zip(ids[i], ids[i][1:], ids[i][2:])]
+        assert math.isclose(out[i].perplexity, math.exp(-sum(logs) / len(logs)), rel_tol=1e-6)
+
+
 # --- pipeline ---------------------------------------------------------------------
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
