@@ -308,6 +308,15 @@ def test_all_trusted_text_is_counted(spark):
         assert math.isclose(out[i].perplexity, math.exp(-sum(logs) / len(logs)), rel_tol=1e-6)
 
 
+def test_model_stays_in_tables(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    tables = kneser_ney.train(docs, docs.select("doc_id"))
+    for name in ("p3", "w2", "p2", "w1", "p1"):
+        assert getattr(tables, name).columns[-1] in ("lp", "lw")
+    plan = kneser_ney.perplexities(docs, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") >= 5
+
+
 # --- pipeline ---------------------------------------------------------------------
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
