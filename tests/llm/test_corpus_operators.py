@@ -223,6 +223,31 @@ def test_repeated_rows_and_null_ids(spark):
     assert order_minhash.near_duplicates(docs.limit(0)).count() == 0 and order_minhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_links_of_each_band_of_similarity_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(4000)]
+    texts, bands = [], []
+    for low in (0.80, 0.85, 0.90, 0.95):
+        for _ in range(100):
+            base = [rng.choice(vocabulary) for _ in range(rng.choice((9, 10, 14, 25, 39, 41, 60, 150, 300)) if low < 0.95 else 120)]
+            n = int((1 - rng.uniform(low, low + 0.05)) * len(base) + 1e-9)
+            copy = list(base)
+            for i in sorted(rng.sample(range(len(base)), n), reverse=True):
+                copy[i:i + 1] = rng.choice(([], [rng.choice(vocabulary)], [rng.choice(vocabulary)]))
+            if copy != base and (similar := 1 - edits(base, copy) / len(base)) >= 0.8:
+                texts += [base, copy]
+                bands.append(min(int(similar * 20 + 1e-9), 19))
+    texts += ["a b c d e f g h i".split(), "a b c d x f g h i".split(), "k l m n o".split(), "k l y n o".split(), "q r s t u".split(), "q r t u".split()]
+    bands += [17, 16, 16]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    hits, every = Counter(), Counter(bands)
+    for i, band in enumerate(bands):
+        hits[band] += found[2 * i + 1] == 2 * i
+    print({b / 20: (hits[b], every[b]) for b in sorted(every)})
+    assert all(hits[b] >= 0.97 * every[b] for b in every) and all(found[2 * i + 1] == 2 * i for i in range(len(bands) - 3, len(bands)))
+
+
 # --- n-gram model -----------------------------------------------------------------
 
 def brute_kneser_ney(sentences):
