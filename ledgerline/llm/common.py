@@ -28,7 +28,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     ``make`` runs once a task, in the Python worker, and returns a function from a batch
     to the columns of the rows that the batch gives.
     """
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -45,7 +45,7 @@ def arrow_totals(df: DataFrame, schema: str, make: Callable[[], tuple[Callable,
     ``make`` returns (add, take): add(batch) adds to the task's totals, take(last) returns
     columns to pass on now (or None), and is asked after each batch and once at the end.
     """
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, take = make()
@@ -60,6 +60,10 @@ def arrow_totals(df: DataFrame, schema: str, make: Callable[[], tuple[Callable,
     return df.mapInArrow(run, schema)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
