@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (best_fit, bpe_automaton, external_shuffle, kneser_ney, language_centroids, order_minhash,
-                            robust_outliers, subword_lattice, url_reputation, winnowing)
+                            robust_outliers, simhash_planes, spelling_variants, subword_lattice, target_resampling, url_reputation, winnowing)
 from ledgerline.llm.common import fold_of, read
 
 RULES = [url_reputation.Rule("block", "net/"), url_reputation.Rule("allow", "example.net/en/"),
@@ -73,9 +73,23 @@ def op10_best_fit(spark, sf_dir):
     return best_fit.packed(read(spark, sf_dir, "documents"), best_fit.Packing(vocabulary("byte_bpe_50k.json")))
 
 
+def op11_simhash_planes(spark, sf_dir):
+    return simhash_planes.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark, sf_dir):
+    drawn = target_resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_reputation, op2_winnowing, op3_bpe_automaton, op4_external_shuffle, op5_language_centroids, op6_subword_lattice,
-    op7_robust_outliers, op8_order_minhash, op9_kneser_ney, op10_best_fit)}
+    op7_robust_outliers, op8_order_minhash, op9_kneser_ney, op10_best_fit, op11_simhash_planes, op12_spelling_variants,
+    op13_target_resampling)}
 
 _STRENGTH = """1 / greatest(1 / 1001.0::DOUBLE, least(1 / 3.0::DOUBLE, CASE WHEN sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0) > 0
         THEN sum((bad - n * mean) * (bad - n * mean) / n - mean * (1 - mean)) FILTER (n > 0) / sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0)
