@@ -12,6 +12,7 @@ from ledgerline.functions.columns import count_if, names
 from ledgerline.functions.dates import month_end, week_ending_sunday
 from ledgerline.functions.text import lookup
 from ledgerline.functions.values import round_numeric
+from ledgerline.operators.quantiles import exact_quantiles
 from ledgerline.operators.running import Running, hot_groups, order_position, running
 from ledgerline.operators.skew import join_unique
 
@@ -67,12 +68,25 @@ def columns_named(df: DataFrame, part: str) -> list[str]:
     return [c for c in df.columns if part in c]
 
 
-def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum per numeric column."""
-    aggs = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
-    wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in aggs.items()])
+def summary(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Count, mean, sample deviation, minimum, exact quantiles (q25, q50, q75) and maximum per numeric column."""
+    first = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": F.min}
+    aggs = {**first, "max_value": F.max}
+    found = exact_quantiles(df, columns, shares)
+    cell = lambda c: F.col(f"`{c}`").cast("double")
+    wide = df.agg(*[f(cell(c)).alias(f"{k}_{c}") for c in columns for k, f in aggs.items()])
     return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{c}").alias(k) for k in aggs]) for c in columns])))
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{k}_{c}`").alias(k) for k in first],
+                 *[F.lit(q).cast("double").alias(f"q{round(100 * s)}") for s, q in zip(shares, found[c])],
+                 F.col(f"`max_value_{c}`").alias("max_value")) for c in columns])))
+
+
+def table_info(df: DataFrame) -> DataFrame:
+    """A row per column: position, name, type, filled and null cells."""
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(f"__n{i}") for i, c in enumerate(df.columns)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kind).alias("type"), F.col(f"__n{i}").alias("n_filled"),
+                 (F.col("__rows") - F.col(f"__n{i}")).alias("n_null")) for i, (c, kind) in enumerate(df.dtypes)])))
 
 
 def share_equal(column: str, value) -> Column:

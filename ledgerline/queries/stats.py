@@ -48,13 +48,39 @@ def profile_frequencies(t):
     return stats.column_frequencies(orders_with_gaps(t), ["status", "priority"])
 
 
-@query("""SELECT 'o_totalprice' AS "column", count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean,
- round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value FROM orders
-UNION ALL SELECT 'o_custkey', count(o_custkey), round(avg(o_custkey), 4), round(stddev_samp(o_custkey), 4),
- min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE FROM orders""")
+def _described(columns: dict[str, str], source: str) -> str:
+    """SQL of a summary: {name: expression} over a source."""
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min_value,
+ round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, max(v) AS max_value
+FROM (SELECT ({e})::DOUBLE AS v FROM {source})""" for c, e in columns.items())
+
+
+def _rounded_summary(df, columns):
+    return stats.summary(df, columns).withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query(_described({"o_totalprice": "o_totalprice", "o_custkey": "o_custkey"}, "orders"))
 def describe(t):
-    facts = stats.summary(t.orders, ["o_totalprice", "o_custkey"])
-    return facts.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+    return _rounded_summary(t.orders, ["o_totalprice", "o_custkey"])
+
+
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(_described({c: c for c in LINE_NUMBERS} | {"late_price": "CASE WHEN l_returnflag = 'R' THEN l_extendedprice END", "no_value": "NULL"}, "lineitem"))
+def describe_wide(t):
+    """All numeric columns, one with gaps and one without any value."""
+    late = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))
+    return _rounded_summary(t.lineitem.withColumns({"late_price": late, "no_value": F.lit(None).cast("double")}), [*LINE_NUMBERS, "late_price", "no_value"])
+
+
+@query(f"""WITH g AS ({GAPS_SQL}) SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'status', 'string'), (2, 'priority', 'string')) i(position, "column", type)
+JOIN (SELECT 'o_orderkey' AS "column", count(o_orderkey) AS n_filled, count(*) - count(o_orderkey) AS n_null FROM g
+ UNION ALL SELECT 'status', count(status), count(*) - count(status) FROM g
+ UNION ALL SELECT 'priority', count(priority), count(*) - count(priority) FROM g) USING ("column")""")
+def table_info(t):
+    return stats.table_info(orders_with_gaps(t).select("o_orderkey", "status", "priority"))
 
 
 QUIET_SQL = "SELECT CASE WHEN o_totalprice > 480000 THEN o_orderdate END AS o_orderdate, o_orderpriority FROM orders"
