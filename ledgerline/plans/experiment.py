@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators import boosting, forest
 from ledgerline.operators import evaluation as ev
 from ledgerline.operators import models as md
 from ledgerline.operators import stats
@@ -24,20 +25,22 @@ from ledgerline.sources.spec import Experiment
 
 @dataclass
 class Fitted:
-    """A prepared and fitted classifier."""
+    """A prepared and fitted classifier; a boosted one bins its inputs itself and has no preparation."""
 
     name: str
     spec: Features
-    preparation: PipelineModel
+    preparation: PipelineModel | None
     model: object
 
     def score(self, inputs: DataFrame) -> DataFrame:
         """Score rows prepared by ``model_inputs``."""
+        if self.preparation is None:
+            return self.model.score(inputs, out=md.SCORE)
         return md.score_rows(self.name, self.model, apply_features(self.preparation, inputs)).drop("features")
 
     @property
     def names(self) -> list[str]:
-        return feature_names(self.preparation, self.spec)
+        return self.model.binning.names if self.preparation is None else feature_names(self.preparation, self.spec)
 
     def odds_ratios(self, spark) -> DataFrame:
         """Exponentials of the coefficients."""
@@ -45,7 +48,8 @@ class Fitted:
         return coefficients.select("feature", F.exp("coefficient").alias("odds_ratio")).orderBy(F.desc("odds_ratio"))
 
     def importances(self, spark) -> DataFrame:
-        return ev.named_vector(spark, self.names, self.model.featureImportances.toArray(), "importance")
+        values = self.model.importances() if self.preparation is None else self.model.featureImportances.toArray()
+        return ev.named_vector(spark, self.names, values, "importance")
 
     def rules(self) -> str:
         """The tree as text with feature names in place of positions."""
@@ -83,7 +87,19 @@ def fold_inputs(df: DataFrame, label: str, ordinal: str, numeric: Sequence[str],
     return Folded(rows, spec, {r["fold"]: (r["neg"], r["pos"]) for r in found})
 
 
+def _boosted(data: Folded, classifier: str, points: Sequence[Mapping], folds: Sequence[int | None], scheme: str | None) -> list[boosting.Boosted]:
+    """The model of each point without each fold (folds within points), all grown in the same passes.
+
+    Bin edges and categories are those of all rows; labels have no part in them.
+    """
+    binning = boosting.plan_bins(data.rows, data.spec.numeric, data.spec.categorical)
+    tasks = [boosting.Task(md.boosting_params(classifier, p), f, md.class_weights(*data.train_counts(f), scheme)) for p in points for f in folds]
+    return boosting.fit_boosted(data.rows, binning, md.LABEL, tasks, "fold")
+
+
 def fit(data: Folded, classifier: str, params: Mapping, scheme: str | None, held_out: int | None = None, seed: int = 33) -> Fitted:
+    if classifier in md.BOOSTED:
+        return Fitted(classifier, data.spec, None, _boosted(data, classifier, [params], [held_out], scheme)[0])
     train = data.rows if held_out is None else data.rows.filter(F.col("fold") != held_out)
     preparation = fit_features(train, data.spec)
     weight, total = md.weight_column(*data.train_counts(held_out), scheme)
@@ -92,16 +108,40 @@ def fit(data: Folded, classifier: str, params: Mapping, scheme: str | None, held
     return Fitted(classifier, data.spec, preparation, model)
 
 
+def _numbered(scored: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """A row for each of the scores in an array, with the number of the grid point that it belongs to."""
+    each = F.posexplode("scores").alias("__at", md.SCORE)
+    ids = F.element_at(F.array(*map(F.lit, numbers)), F.col("__at") + 1).alias("param_id")
+    return scored.select("fold", md.LABEL, each).select(ids, "fold", md.LABEL, md.SCORE)
+
+
+def _search_boosted(data: Folded, classifier: str, points: list[dict], scheme: str | None) -> DataFrame:
+    """Scores of every point on every fold: the first trees of the longest model are the shorter ones."""
+    groups, folds = md.prefix_groups(classifier, points), sorted(data.counts)
+    models = _boosted(data, classifier, [p for p, _ in groups], folds, scheme)
+    prefixes = sorted({n for _, own in groups for _, n in own})
+    by_fold = {f: [models[g * len(folds) + k] for g in range(len(groups))] for k, f in enumerate(folds)}
+    wanted = {(g, n): i for g, (_, own) in enumerate(groups) for i, n in own}
+    numbers = [wanted.get((g, n), -1) for g in range(len(groups)) for n in prefixes]
+    return _numbered(boosting.score_folds(data.rows, "fold", by_fold, prefixes), numbers).filter("param_id >= 0")
+
+
 def search(data: Folded, classifier: str, grid: Mapping[str, list] | None = None, scheme: str | None = "default",
            seed: int = 33, parallelism: int = 4) -> DataFrame:
     """Every metric of every parameter set on every fold, as (param_id, params, fold, metric, value).
 
     The preparation is fitted once per fold and its output kept for all parameter
-    sets; one metrics job per fold scores them together.
+    sets; one metrics job per fold scores them together. Of forests and boosted models
+    that differ only in the number of trees, the largest is fitted and scored at each
+    number; boosted models of all folds and sets grow in the same passes.
     """
     points = md.grid_points(classifier, grid)
     scheme = md.default_scheme(classifier) if scheme == "default" else scheme
     threshold = md.decision_threshold(classifier)
+    keys = ["param_id", "fold"]
+
+    def measured(scored: DataFrame) -> DataFrame:
+        return ev.long_metrics(ev.metrics(scored, md.SCORE, md.LABEL, threshold, keys), keys)
 
     def one_fold(fold: int) -> DataFrame:
         train_part = F.col("fold") != fold
@@ -111,15 +151,22 @@ def search(data: Folded, classifier: str, grid: Mapping[str, list] | None = None
         train = prepared.filter(train_part).withColumn(md.WEIGHT, weight)
         test = prepared.filter(~train_part)
         scored = []
-        for i, params in enumerate(points):
-            model = md.build_classifier(classifier, params, total, seed).fit(train)
-            rows = md.score_rows(classifier, model, test).select(F.lit(i).alias("param_id"), "fold", md.LABEL, md.SCORE)
-            scored.append(rows)
-        keys = ["param_id", "fold"]
-        return ev.long_metrics(ev.metrics(reduce(DataFrame.unionByName, scored), md.SCORE, md.LABEL, threshold, keys), keys)
-
-    with ThreadPool(parallelism) as pool:
-        parts = pool.map(one_fold, sorted(data.counts))
+        if classifier == "RandomForest":
+            for params, own in md.prefix_groups(classifier, points):
+                trees = forest.trees_of(md.build_classifier(classifier, params, total, seed).fit(train))
+                scored.append(_numbered(forest.prefix_scores(test, trees, [n for _, n in own]), [i for i, _ in own]))
+        else:
+            for i, params in enumerate(points):
+                model = md.build_classifier(classifier, params, total, seed).fit(train)
+                rows = md.score_rows(classifier, model, test).select(F.lit(i).alias("param_id"), "fold", md.LABEL, md.SCORE)
+                scored.append(rows)
+        return measured(reduce(DataFrame.unionByName, scored))
+
+    if classifier in md.BOOSTED:
+        parts = [measured(stored(_search_boosted(data, classifier, points, scheme)))]
+    else:
+        with ThreadPool(parallelism) as pool:
+            parts = pool.map(one_fold, sorted(data.counts))
     texts = data.rows.sparkSession.createDataFrame(
         [(i, json.dumps(p)) for i, p in enumerate(points)], "param_id int, params string")
     return reduce(DataFrame.unionByName, parts).join(F.broadcast(texts), "param_id").select(
@@ -135,6 +182,11 @@ def out_of_fold(data: Folded, classifier: str, params: Mapping, scheme: str | No
                 parallelism: int = 4) -> DataFrame:
     """Scores of each row from the model that was fitted without its fold."""
     scheme = md.default_scheme(classifier) if scheme == "default" else scheme
+    if classifier in md.BOOSTED:
+        folds = sorted(data.counts)
+        models = dict(zip(folds, ([m] for m in _boosted(data, classifier, [params], folds, scheme))))
+        scored = boosting.score_folds(data.rows, "fold", models, [md.boosting_params(classifier, params).rounds])
+        return scored.withColumn(md.SCORE, F.element_at("scores", 1)).drop("scores")
 
     def one_fold(fold: int) -> DataFrame:
         fitted = fit(data, classifier, params, scheme, fold, seed)
@@ -196,6 +248,8 @@ def run(table: DataFrame, spec: Experiment, ordinal: str, classifier: str = "Ran
         out["odds_ratios"] = fitted.odds_ratios(spark)
     if classifier == "DecisionTree":
         out["rules"] = fitted.rules()
+    if classifier in md.BOOSTED:
+        out["importances"] = fitted.importances(spark)
     if classifier == "RandomForest":
         out["importances"] = fitted.importances(spark)
         out["permutation"] = permutation_importance(data, fitted, ordinal, criteria, repeats, spec.seed)

@@ -58,7 +58,7 @@ def most_frequent_fill(t):
 
 @query()
 def forest_importance(t):
-    fitted = ex.fit(folded(t, "RandomForest"), "RandomForest", {"n_estimators": 20, "max_depth": 5}, "balanced")
+    fitted = ex.fit(folded(t, "RandomForest"), "RandomForest", {"n_estimators": 100, "max_depth": 5}, "balanced")
     return rounded(fitted.importances(t.labels.sparkSession))
 
 
@@ -72,13 +72,31 @@ def tree_rules(t):
 @query()
 def boosted_metrics(t):
     data = folded(t, "XGBoost")
-    oof = ex.out_of_fold(data, "XGBoost", {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3})
+    oof = ex.out_of_fold(data, "XGBoost", {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.3})
     return ev.metrics(oof, md.SCORE, md.LABEL)
 
 
+@query()
+def boosted_importance(t):
+    fitted = ex.fit(folded(t, "HistGradientBoosting"), "HistGradientBoosting", {"max_iter": 100, "max_depth": 3}, "balanced")
+    return rounded(fitted.importances(t.labels.sparkSession))
+
+
+@query()
+def forest_search(t):
+    """The 48 points of the forest's grid from 12 fits a fold."""
+    return ev.rank_results(ex.search(folded(t, "RandomForest"), "RandomForest"), "roc_auc")
+
+
 @query()
 def svm_metrics(t):
-    oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1, "iterations": 20})
+    oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1, "kernel": "linear"})
+    return ev.metrics(oof, md.SCORE, md.LABEL, md.decision_threshold("SVM"))
+
+
+@query()
+def svm_rbf_metrics(t):
+    oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1, "kernel": "rbf"})
     return ev.metrics(oof, md.SCORE, md.LABEL, md.decision_threshold("SVM"))
 
 
