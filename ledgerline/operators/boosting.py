@@ -23,6 +23,8 @@ from ledgerline.sources.shared import stored
 
 _MISSING = 0
 CELLS_AT_ONCE = 4_000_000  # sums that a pass may bring to the driver
+FEW_TASKS = 8  # the driver adds up the sums of so many tasks itself
+MARGINS_A_TASK = 200_000  # rows times models; fewer are not worth a task of their own
 
 
 @dataclass(frozen=True)
@@ -190,9 +192,9 @@ def score_folds(df: DataFrame, fold: str, models: dict[int, Sequence[Boosted]],
     return df.mapInArrow(work, ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes) + f", `{out}` array<double>")
 
 
-def _state(df: DataFrame, binning: Binning, label: str, fold: str | None, bases: list[float]) -> DataFrame:
-    """codes, y, fold and the margins of all models."""
-    rows = df.select(*binning.columns, F.col(label).cast("double").alias("__y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"))
+def _state(df: DataFrame, binning: Binning, label: str, fold: str | None, bases: list[float], n: int) -> DataFrame:
+    """codes, y, fold and the margins of all models of the ``n`` rows."""
+    rows = df.coalesce(max(1, n * len(bases) // MARGINS_A_TASK)).select(*binning.columns, F.col(label).cast("double").alias("__y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +217,7 @@ def _unpacked(batch: pa.RecordBatch, features: int, new: list[list[Tree]]) -> tu
     return codes, batch.column("y").to_numpy(), batch.column("fold").to_numpy(zero_copy_only=False), margins
 
 
-def _sums(state: DataFrame, tasks: list[Task], new: list[list[Tree]], growing: list[Tree], level: int, features: int, width: int) -> np.ndarray:
+def _sums(state: DataFrame, tasks: list[Task], new: list[list[Tree]], growing: list[Tree], level: int, features: int, width: int, few: bool) -> np.ndarray:
     """Gradient, hessian and rows of each (model, node of the level, feature, bin)."""
     nodes = 1 << level
     shape = (len(tasks), nodes, features, width)
@@ -240,10 +242,13 @@ def _sums(state: DataFrame, tasks: list[Task], new: list[list[Tree]], growing: l
         cell = np.flatnonzero(flat[2])
         yield pa.RecordBatch.from_pydict({"cell": cell, "g": flat[0, cell], "h": flat[1, cell], "n": flat[2, cell]})
 
-    sums = state.mapInArrow(work, "cell long, g double, h double, n double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+    sums = state.mapInArrow(work, "cell long, g double, h double, n double")
+    if not few:
+        sums = sums.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
+    found = sums.toArrow()
     out = np.zeros((3, int(np.prod(shape))))
     for k, c in enumerate("ghn"):
-        out[k, sums["cell"].to_numpy()] = sums[c].to_numpy()
+        np.add.at(out[k], found["cell"].to_numpy(), found[c].to_numpy())
     return out.reshape(3, *shape)
 
 
@@ -306,21 +311,21 @@ def fit_boosted(df: DataFrame, binning: Binning, label: str, tasks: Sequence[Tas
         most = max(1, CELLS_AT_ONCE // ((1 << depth) * features * width))
         for at in range(0, len(alike), most):
             chosen = alike[at:at + most]
-            trees = _fit_together(df, binning, label, [tasks[i] for i in chosen], [bases[i] for i in chosen], fold, stored_rounds)
+            state = _state(df, binning, label, fold, [bases[i] for i in chosen], sum(map(sum, counts.values())))
+            trees = _fit_together(state, [tasks[i] for i in chosen], features, width, stored_rounds)
             for i, own in zip(chosen, trees):
                 out[i] = Boosted(binning, tasks[i].params, bases[i], own)
     return out
 
 
-def _fit_together(df: DataFrame, binning: Binning, label: str, tasks: list[Task], bases: list[float], fold: str | None, stored_rounds: int) -> list[list[Tree]]:
-    features, width, depth = len(binning.names), binning.width, tasks[0].params.depth
-    state = _state(df, binning, label, fold, bases)
+def _fit_together(state: DataFrame, tasks: list[Task], features: int, width: int, stored_rounds: int) -> list[list[Tree]]:
+    depth, few = tasks[0].params.depth, state.rdd.getNumPartitions() <= FEW_TASKS
     done: list[list[Tree]] = [[] for _ in tasks]
     new: list[list[Tree]] = [[] for _ in tasks]
     for turn in range(max(t.params.rounds for t in tasks)):
         growing = [Tree.empty(depth) for _ in tasks]
         for level in range(depth):
-            sums = _sums(state, tasks, new, growing, level, features, width)
+            sums = _sums(state, tasks, new, growing, level, features, width, few)
             if not any([_grow(tree, level, sums[:, m], t.params) for m, (tree, t) in enumerate(zip(growing, tasks))]):
                 break
         for m, (tree, t) in enumerate(zip(growing, tasks)):

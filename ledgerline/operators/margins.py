@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 FEATURES, LABEL, WEIGHT, FOLD = "features", "__label", "__weight", "fold"
 MARGIN = "__margin"
+ROWS_A_TASK = 20_000
 
 
 @dataclass(frozen=True)
@@ -147,8 +148,10 @@ class CalibratedSVM:
         if self.kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel {self.kernel!r}; known: linear, rbf")
         fourier = Fourier(scale_gamma(df), self.components, self.seed) if self.kernel == "rbf" else None
-        rows = (fourier.apply(df) if fourier else df).select(FEATURES, LABEL, WEIGHT, FOLD).persist()
-        folds = [r[FOLD] for r in rows.select(FOLD).distinct().orderBy(FOLD).collect()]
+        counts = {r[FOLD]: r.n for r in df.groupBy(FOLD).agg(F.count(F.lit(1)).alias("n")).collect()}
+        few = df.coalesce(max(1, sum(counts.values()) // ROWS_A_TASK))  # every step of the machine is a job over them
+        rows = (fourier.apply(few) if fourier else few).select(FEATURES, LABEL, WEIGHT, FOLD).persist()
+        folds = sorted(counts)
         parts = []
         for f in folds if len(folds) > 1 else []:
             machine = self.machine.fit(rows.filter(F.col(FOLD) != f))

@@ -82,12 +82,6 @@ def boosted_importance(t):
     return rounded(fitted.importances(t.labels.sparkSession))
 
 
-@query()
-def forest_search(t):
-    """The 48 points of the forest's grid from 12 fits a fold."""
-    return ev.rank_results(ex.search(folded(t, "RandomForest"), "RandomForest"), "roc_auc")
-
-
 @query()
 def svm_metrics(t):
     oof = ex.out_of_fold(folded(t, "SVM"), "SVM", {"C": 1, "kernel": "linear"})

@@ -5,7 +5,7 @@ import pytest
 
 from ledgerline.queries import QUERIES, SQL
 
-SLOW = {"grid_search", "svm_metrics", "boosted_metrics", "permutation_importance", "oof_scores", "logistic_odds", "forest_importance", "tree_rules"}
+SLOW = {"grid_search", "svm_metrics", "svm_rbf_metrics", "boosted_metrics", "boosted_importance", "permutation_importance", "oof_scores", "logistic_odds", "forest_importance", "tree_rules"}
 
 
 @pytest.fixture(scope="module")
