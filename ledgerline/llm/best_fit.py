@@ -1,51 +1,55 @@
 """Best-fit-decreasing packing of documents into sequences of a fixed length.
 
 Documents are tokenised, ended by an end token and cut into pieces only where they are
-longer than a sequence. Pieces are dealt evenly into groups of bounded size; in a group
-they are placed from the longest to the shortest, each into the open sequence with the
-least room that is enough, which a segment tree over remaining capacities finds in a
-number of steps that is logarithmic in the capacity.
+longer than a sequence. Pieces are placed from the longest to the shortest, each into the
+open sequence with the least room that is enough, which a segment tree over remaining
+capacities finds in a number of steps that is logarithmic in the capacity. Pieces of equal
+length are alike, so the driver packs the counts of the lengths, of which there are no more
+than a sequence has tokens: sequences of equal room lie in runs, and a step places as many
+pieces as a run takes. Pieces then find their place by their number among those of their
+length, each task by itself.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, texts
-
-#: Sequences of a group at most; a group's number times this is added to its sequence numbers.
-_GROUP_SEQUENCES = 1 << 32
+from ledgerline.llm.common import arrow_map, sized, texts
+from ledgerline.sources.shared import stored
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``path`` is the tokenizer file, at the same place on every executor. ``group_rows`` documents share a group."""
+    """``path`` is the tokenizer file, at the same place on every executor. Tables of up to ``broadcast_rows`` rows go to all tasks."""
 
     path: str
     length: int = 1024
     end_token: int = 2
-    group_rows: int = 1 << 17
+    broadcast_rows: int = 500_000
 
 
 class CapacityTree:
-    """Segment tree over capacities 0 to ``capacity``: how many open sequences have each as their room."""
+    """Segment tree over capacities 0 to ``capacity``: how many open sequences have each as their room, and which runs they are."""
 
     def __init__(self, capacity: int):
         self.base = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.base)
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
-    def add(self, room: int, sequence: int) -> None:
-        self.open[room].append(sequence)
-        self._change(room, 1)
+    def add(self, room: int, first: int, n: int) -> None:
+        """``n`` open sequences from number ``first`` on; those without room are closed."""
+        if room and n:
+            self.runs[room].append((first, n))
+            self._change(room, n)
 
     def _change(self, room: int, by: int) -> None:
         node, count = room + self.base, self.count
@@ -53,8 +57,8 @@ class CapacityTree:
             count[node] += by
             node >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """(room, sequence) of the tightest open sequence with at least ``need`` room, which is closed; None if there is none."""
+    def tightest(self, need: int) -> int | None:
+        """The least room of an open sequence that is ``need`` or more."""
         node, count = need + self.base, self.count
         while not count[node]:  # climb until a subtree to the right has an open sequence
             while node & 1:
@@ -66,25 +70,59 @@ class CapacityTree:
             node *= 2
             if not count[node]:
                 node += 1
-        room = node - self.base
-        self._change(room, -1)
-        return room, self.open[room].pop()
+        return node - self.base
+
+    def take(self, room: int) -> tuple[int, int]:
+        """A run (first, n) of sequences with this room, which is closed."""
+        first, n = self.runs[room].pop()
+        self._change(room, -n)
+        return first, n
+
+
+def plan(counts: Mapping[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """How the pieces of each length are placed: rows of (number of the first piece, its sequence, pieces a sequence takes, offset).
+
+    The pieces of a row fill its sequences one after the other. What comes out is best-fit
+    decreasing: after a piece of its length a sequence is tighter than all others that can
+    take one more, so it takes as many as it can.
+    """
+    tree, used, rows = CapacityTree(capacity), 0, {}
+    for length in sorted(counts, reverse=True):
+        own, left, rank = rows.setdefault(length, []), counts[length], 0
+        while left:
+            room = tree.tightest(length)
+            first, n = (used, left) if room is None else tree.take(room)
+            if room is None:
+                room = capacity
+            each = room // length
+            some = min(n, -(-left // each))
+            if first == used:
+                used += some
+            else:
+                tree.add(room, first + some, n - some)
+            placed = min(left, some * each)
+            full, rest = divmod(placed, each)
+            own.append((rank, first, each, capacity - room))
+            tree.add(room - each * length, first, full)
+            tree.add(room - rest * length, first + full, 1 if rest else 0)
+            left, rank = left - placed, rank + placed
+    return {length: np.array(own, np.int64) for length, own in rows.items()}
+
+
+def places(rows: np.ndarray, ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of the pieces of a length, by their numbers."""
+    start, first, each, offset = rows[np.searchsorted(rows[:, 0], ranks, side="right") - 1].T
+    return first + (ranks - start) // each, offset + (ranks - start) % each * length
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[int]]:
-    """(sequence, offset) of each length; the lengths come from the longest to the shortest."""
-    tree, sequences, offsets, used = CapacityTree(capacity), [], [], 0
-    for length in lengths:
-        found = tree.take(length)
-        if found is None:
-            found = (capacity, used)
-            used += 1
-        room, sequence = found
-        sequences.append(sequence)
-        offsets.append(capacity - room)
-        if room > length:
-            tree.add(room - length, sequence)
-    return sequences, offsets
+    """(sequence, offset) of each length."""
+    lengths = list(lengths)
+    rows, seen, out = plan(Counter(lengths), capacity), Counter(), []
+    for n in lengths:
+        out.append([int(x[0]) for x in places(rows[n], np.array([seen[n]]), n)])
+        seen[n] += 1
+    return [s for s, _ in out], [o for _, o in out]
 
 
 class Encoder:
@@ -103,10 +141,19 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes([byte_of[c] for c in s]): i for s, i in spec["model"]["vocab"].items() if s not in special}
         self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.special = set(special)
+        self.special, self.path, self.library = set(special), path, None
 
     def encode(self, text: str) -> np.ndarray:
-        return self.model.encode_to_numpy(text, allowed_special=self.special)
+        try:
+            return self.model.encode_to_numpy(text, allowed_special=self.special)
+        except ValueError:  # its pattern runs out of stack on about a million white-space characters in a row
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+                self.library.no_truncation()
+                self.library.no_padding()
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 # Fixed value: how the byte-level vocabulary splits text before its merges.
@@ -120,63 +167,70 @@ def cut_points(length: int, most: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, p: Packing, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, binary) of the pieces of every document."""
+    """doc_id, piece, start, length, ids_crc32 (and ids, binary) of the pieces of every document.
+
+    ``part`` and ``rank`` number the pieces of each length within the task that made them.
+    """
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else []))
+
     def make():
-        encoder = Encoder(p.path)
+        encoder, part, seen = Encoder(p.path), TaskContext.get().partitionId(), Counter()
 
         def work(batch: pa.RecordBatch) -> dict:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []))}
+            out = {k: [] for k in names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 ids = np.append(encoder.encode(text), np.uint32(p.end_token)).astype("<u4")
                 for i, (start, length) in enumerate(cut_points(len(ids), p.length)):
-                    part = ids[start:start + length].tobytes()
-                    for k, v in zip(out, (doc_id, i, start, length, zlib.crc32(part), part)):
+                    own = ids[start:start + length].tobytes()
+                    for k, v in zip(names, (doc_id, i, start, length, zlib.crc32(own), part, seen[length], own)):
                         out[k].append(v)
+                    seen[length] += 1
             return out
 
         return work
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + (", ids binary" if with_ids else "")
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), schema, make)
 
 
-def pack(cut: DataFrame, groups: int, length: int) -> DataFrame:
-    """``cut`` with sequence_id and offset: best-fit decreasing within each of ``groups`` groups of rows.
+def pack(cut: DataFrame, p: Packing) -> DataFrame:
+    """``cut`` (stored; length, part, rank) with sequence_id and offset by best-fit decreasing over all its rows.
 
-    ``cut`` has a column length, from 1 to ``length``. Groups are dealt by a hash of the
-    whole row, so none grows with a key's share of the rows. Rows of equal length are
-    placed in the order of their other columns. Input columns with the names of the
-    results are replaced.
+    The pieces of each task and length are counted, earlier tasks' counts are added up, and
+    the driver gets one count a length.
     """
-    rows = cut.drop("sequence_id", "offset")
-    order = [c for c, kind in rows.dtypes if kind in ("bigint", "int")]
-
-    def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", *[c for c in order if c != "length"]], ascending=[False] + [True] * (len(order) - 1))
-        sequences, offsets = best_fit(frame["length"].tolist(), length)
-        frame["sequence_id"] = np.array(sequences, np.int64) + key[0] * _GROUP_SEQUENCES
-        frame["offset"] = np.array(offsets, np.int64)
-        return frame.drop(columns="__group")
-
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", sequence_id bigint, offset bigint"
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(place, schema)
+    own = stored(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    rows = plan({r.length: r.n for r in own.groupBy("length").agg(F.sum("n").alias("n")).collect()}, p.length)
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    before = stored(own.select("length", "part", earlier.alias("before")))
+    numbered = cut.join(sized(before, p.broadcast_rows), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    kept = [c for c in numbered.columns if c != "rank"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for n in np.unique(length).tolist():
+                mine = np.flatnonzero(length == n)
+                sequence[mine], offset[mine] = places(rows[n], rank[mine], n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+
+    kinds = dict(numbered.dtypes)
+    return numbered.mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", sequence_id bigint, offset bigint")
 
 
 def packed(docs: DataFrame, p: Packing) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    A null or empty text is one end token. Repeated rows are packed each, an empty table
-    gives no rows, and columns other than doc_id and text are not read. A document has at
-    most one piece that needs another's room, so its rows bound the size of a group.
+    Sequences are numbered from 0 without gaps. A null or empty text is one end token.
+    Repeated rows are packed each, an empty table gives no rows, and columns other than
+    doc_id and text are not read.
     """
-    groups = max(1, -(-docs.count() // p.group_rows))
-    return pack(pieces(docs, p, with_ids=False), groups, p.length)
+    return pack(stored(pieces(docs, p, with_ids=False)), p).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, p: Packing) -> DataFrame:
     """sequence_id and ids (binary, little-endian 32-bit): the packed sequences themselves."""
-    groups = max(1, -(-docs.count() // p.group_rows))
-    placed = pack(pieces(docs, p), groups, p.length)
+    placed = pack(stored(pieces(docs, p)), p)
     parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))  # one sequence's pieces
     return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

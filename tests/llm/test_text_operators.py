@@ -239,6 +239,54 @@ def test_packing_is_whole(spark):
     assert best_fit.packed(make_docs(spark, []), p).count() == 0
 
 
+def test_long_gaps_and_full_pieces(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [" " * 2_000_000, "\n" * 1_500_000 + "x", "a" + " \t" * 600_000, *["hello world " * 700] * 40, *["one"] * 300]
+    docs = make_docs(spark, texts).repartition(7)
+    rows = best_fit.packed(docs, best_fit.Packing(path)).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r.doc_id].append(r)
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert sum(r.length for r in found[i]) == len(ids)
+        for r in found[i]:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sorted(used) == list(range(len(used)))
+    for parts in used.values():
+        ends = [0]
+        for o, n in sorted(parts):
+            assert o == ends[-1]
+            ends.append(o + n)
+        assert ends[-1] <= 1024
+    lengths = sorted((r.length for r in rows), reverse=True)
+    assert len(used) == len(set(best_fit.best_fit(lengths, 1024)[0])) and len(used) <= sum(lengths) / 1024 * 1.05 + 1
+
+
+def test_plan_of_counts_is_best_fit_of_pieces():
+    rng = random.Random(9)
+    for capacity in (7, 64, 100):
+        for _ in range(40):
+            counts = {n: rng.choice([1, 2, 5, 60]) for n in rng.sample(range(1, capacity + 1), min(capacity, 12))}
+            rooms = []
+            for n in sorted(counts, reverse=True):
+                for _ in range(counts[n]):
+                    fits = [i for i, r in enumerate(rooms) if r >= n]
+                    if fits:
+                        rooms[min(fits, key=lambda i: rooms[i])] -= n
+                    else:
+                        rooms.append(capacity - n)
+            held = Counter()
+            for n, own in best_fit.plan(counts, capacity).items():
+                for s in best_fit.places(own, np.arange(counts[n]), n)[0].tolist():
+                    held[s] += n
+            assert sorted(capacity - x for x in held.values()) == sorted(rooms)
+
+
 # --- sharding ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("rows", [0, 1, 5, 24, 100])
