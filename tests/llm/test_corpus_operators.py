@@ -248,6 +248,35 @@ def test_links_of_each_band_of_similarity_are_found(spark):
     assert all(hits[b] >= 0.97 * every[b] for b in every) and all(found[2 * i + 1] == 2 * i for i in range(len(bands) - 3, len(bands)))
 
 
+def test_links_in_buckets_of_unlike_texts_are_found(spark):
+    """Texts that share a passage of three quarters of their words, with planted pairs just above the similarity."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(90)]
+    texts = [passage[:45] + [word() for _ in range(30)] + passage[45:] for _ in range(400)]
+    for x in texts[:127]:
+        copy = list(x)
+        for i in rng.sample(range(120), rng.randrange(18, 25)):
+            copy[i] = word()
+        texts.append(copy)
+    near = [passage[:80] + [word() for _ in range(n)] for n in (5, 12, 19, 21, 22, 60)]  # little but the passage
+    texts = [" ".join(t) for t in texts + near]
+    low = list(range(len(texts)))
+
+    def top(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if order_minhash.word_similarity(texts[i], texts[j], 0.8) >= 0.8]
+    for i, j in links:
+        low[max(top(i), top(j))] = min(top(i), top(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()}
+    assert sum(127 > i < j < 527 for i, j in links) >= 120 and [(i, j) for i, j in links if got[i] != got[j]] == []
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 # --- n-gram model -----------------------------------------------------------------
 
 def brute_kneser_ney(sentences):
