@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +140,59 @@ def permuted(df: DataFrame, columns: Sequence[str], ordinal: str, repeats: int,
     return moved.select(*others, F.inline(copies)).select(*others, "feature", "repeat", "x.*")
 
 
+def permutation(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where each number below ``n`` goes in the permutation of all of them that ``key`` names.
+
+    A number is a pair of digits to two bases of about the root of ``n``, and each digit is
+    moved in turn by a hash of the other, which can be undone, so no two numbers meet.
+    What falls beyond ``n`` goes through it again until it is below.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    mix = np.uint64(0xBF58476D1CE4E5B9)
+
+    def moved(digit: np.ndarray, turn: int, base: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = digit.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + turn * 0x94D049BB133111EB) % (1 << 64))
+            for _ in range(2):
+                h = (h ^ (h >> np.uint64(31))) * mix
+            return ((h ^ (h >> np.uint64(32))) % np.uint64(base)).astype(np.int64)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x % a, x // a
+        for turn in range(4):
+            left = (left + moved(right, 2 * turn, a)) % a
+            right = (right + moved(left, 2 * turn + 1, b)) % b
+        return left + a * right
+
+    out = once(np.asarray(index, np.int64))
+    while (far := np.flatnonzero(out >= n)).size:
+        out[far] = once(out[far])
+    return out
+
+
+def shuffled(df: DataFrame, columns: Sequence[str], index: str, repeats: int, seed: int = 42) -> DataFrame:
+    """One copy of the rows per (feature, repeat), with that feature's values dealt to any rows.
+
+    ``index`` numbers the rows from 0 without gaps. Row i of repeat r has the value of the
+    row that i goes to in a keyed permutation of all numbers; one join fetches the rows of
+    all repeats, and the features are told apart after it.
+    """
+    n = df.count()
+
+    @F.pandas_udf("array<long>")
+    def sources(i: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([permutation(i.to_numpy(), n, seed * 1_000_003 + r) for r in range(repeats)], axis=1)) if len(i) else [], dtype=object)
+
+    asked = df.select("*", F.posexplode(sources(index)).alias("repeat", "__from"))
+    values = df.select(F.col(index).alias("__from"), F.struct(*columns).alias("__other"))
+    both = asked.join(values, "__from")
+    copies = F.array(*[F.struct(F.lit(c).alias("feature"), F.struct(*[(F.col(f"__other.{k}") if c == k else F.col(k)).alias(k) for k in columns]).alias("x"))
+                       for c in columns])
+    others = [c for c in df.columns if c not in columns]
+    return both.select(*others, "repeat", F.inline(copies)).select(*others, "feature", "repeat", "x.*")
+
+
 def named_vector(spark, names: Sequence[str], values: Sequence[float], out: str) -> DataFrame:
     """Model coefficients or importances with their feature names, largest first."""
     rows = [(n, float(v)) for n, v in zip(names, values)]

@@ -177,11 +177,14 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> D
 
 
 def class_frequencies(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Relative frequency of each value within each class, 0 where a class lacks the value."""
+    """Relative frequency of each value within each class, 0 where a class lacks the value.
+
+    ``by`` is a label: its values go into one array, so up to some thousands are meant.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"), F.col(by).alias("class")).agg(
         F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(F.col("class").alias("__c")).agg(F.sum("n").alias("__total"))
-    # Every class is offered to every value: few classes, carried as one array.
+    # Every class is offered to every value, so the result has a row for each; the classes are carried as one array.
     classes = totals.agg(F.sort_array(F.collect_list(F.struct("__c", "__total"))).alias("a")).scalar()
     spine = counts.select("value").distinct().withColumn("__k", F.explode(classes)).select(
         "value", F.col("__k.__c").alias("class"), F.col("__k.__total").alias("__total"))

@@ -21,6 +21,7 @@ from ledgerline.operators.features import (
 )
 from ledgerline.sources.shared import stored
 from ledgerline.sources.spec import Experiment
+from ledgerline.sources.tables import with_row_order
 
 
 @dataclass
@@ -198,10 +199,14 @@ def out_of_fold(data: Folded, classifier: str, params: Mapping, scheme: str | No
 
 def permutation_importance(data: Folded, fitted: Fitted, ordinal: str, metric: str = "roc_auc", repeats: int = 10,
                            seed: int = 42) -> DataFrame:
-    """Drop of the metric when one input column is exchanged between rows: mean and deviation over repeats."""
+    """Drop of the metric when one input column is dealt to other rows: mean and deviation over repeats.
+
+    A value may go to any row of the table; the rows are numbered in the order of ``ordinal``.
+    """
     threshold = md.decision_threshold(fitted.name)
     base = ev.metrics(fitted.score(data.rows), md.SCORE, md.LABEL, threshold).first()[metric]
-    copies = ev.permuted(data.rows, data.spec.columns, ordinal, repeats, seed)
+    numbered = stored(with_row_order(stored(data.rows.orderBy(ordinal)), "__index"))
+    copies = ev.shuffled(numbered, data.spec.columns, "__index", repeats, seed)
     if data.spec.gaps:
         copies = copies.withColumns({f"{c}_missing": missing(c).cast("double") for c in data.spec.gaps})
     scores = ev.metrics(fitted.score(copies), md.SCORE, md.LABEL, threshold, ["feature", "repeat"])

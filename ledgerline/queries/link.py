@@ -88,15 +88,15 @@ def key_overlap(t):
     return link.key_overlap(good_customers(t), urgent_orders(t), "c_custkey", "o_custkey")
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderdate AS d FROM orders WHERE o_totalprice > 100000),
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_totalprice > 100000 THEN o_orderdate END AS d FROM orders),
  b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END AS s,
   CASE WHEN o_totalprice < 400000 THEN o_orderdate END AS d FROM orders)
 SELECT count(*) AS matched, count(*) FILTER (a.s = b.s) AS same_status, count(*) FILTER (a.d = b.d) AS same_date,
  count(*) FILTER (a.d = b.d AND a.s <> b.s) AS same_date_other_status, count(*) FILTER (b.d IS NULL) AS undated
 FROM a JOIN b USING (o_orderkey)""")
 def delivery_compare(t):
-    first = t.orders.filter(F.col("o_totalprice") > 100000).select(
-        "o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("d"))
+    first = t.orders.select(
+        "o_orderkey", F.col("o_orderstatus").alias("s"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderdate")).alias("d"))
     second = t.orders.select(
         "o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", F.lit("X")).otherwise(F.col("o_orderstatus")).alias("s"),
         F.when(F.col("o_totalprice") < 400000, F.col("o_orderdate")).alias("d"))
@@ -120,11 +120,13 @@ def delivery_pairs(t):
 
 
 @query("""SELECT c_custkey, c_name, s_suppkey, s_name, n_nationkey, n_name
-FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000) c
+FROM (SELECT CASE WHEN c_acctbal > 5000 THEN c_custkey END AS c_custkey, c_name FROM customer) c
 FULL JOIN (SELECT s_suppkey, s_name FROM supplier) s ON c_custkey = s_suppkey
 FULL JOIN (SELECT n_nationkey, n_name FROM nation) n ON c_custkey = n_nationkey""")
 def outer_chain(t):
-    customers = t.customer.filter(F.col("c_acctbal") > 5000).select("c_custkey", "c_name", F.lit("c").alias("origin"))
+    """All customers; those of a small balance have no key and match nothing."""
+    key = F.when(F.col("c_acctbal") > 5000, F.col("c_custkey")).alias("c_custkey")
+    customers = t.customer.select(key, "c_name", F.lit("c").alias("origin"))
     suppliers = t.supplier.select("s_suppkey", "s_name", F.lit("s").alias("origin"))
     nations = t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
     merged = link.outer_chain([(customers, "c_custkey"), (suppliers, "s_suppkey"), (nations, "n_nationkey")])

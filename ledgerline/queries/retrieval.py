@@ -37,7 +37,7 @@ def chunks_by_tokens(t):
 
 @query()
 def tfidf_vectors(t):
-    model = fit_text_vectors(t.documents, "text", 256)
+    model = fit_text_vectors(t.documents, "text")
     vectors = text_vectors(model, t.documents.select("doc_id", "text"))
     return vectors.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"),
                           F.size(F.filter("embedding", lambda x: x != 0)).alias("terms"))

@@ -147,14 +147,16 @@ def histogram_all(t):
     return out.withColumns({"bin_start": F.round("bin_start", 6), "density": F.round("density", 9)})
 
 
-@query("""WITH e AS (SELECT event_type AS value, value > 50 AS class FROM events WHERE event_type <> 'view' OR value <= 50),
- c AS (SELECT value, class, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT DISTINCT c1.value, c2.class FROM c c1, c c2),
+@query("""WITH e AS (SELECT CASE WHEN event_type <> 'view' OR value <= 50 THEN event_type END AS value, value > 50 AS class FROM events),
+ c AS (SELECT value, class, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY ALL), s AS (SELECT DISTINCT c1.value, c2.class FROM c c1, c c2),
  k AS (SELECT class, sum(n) AS total FROM c GROUP BY class)
 SELECT s.value, s.class, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 9) AS share
 FROM s JOIN k ON k.class = s.class LEFT JOIN c ON c.value = s.value AND c.class = s.class""")
 def class_frequencies(t):
-    rows = t.events.filter((F.col("event_type") != "view") | (F.col("value") <= 50)).withColumn("high", F.col("value") > 50)
-    return stats.class_frequencies(rows, "event_type", "high").withColumn("share", F.round("share", 9))
+    """All events; views above 50 have no type, so one class lacks it."""
+    kind = F.when((F.col("event_type") != "view") | (F.col("value") <= 50), F.col("event_type")).alias("kind")
+    rows = t.events.select(kind, (F.col("value") > 50).alias("high"))
+    return stats.class_frequencies(rows, "kind", "high").withColumn("share", F.round("share", 9))
 
 
 FEATURES = ["l_returnflag", "l_discount", "l_tax"]

@@ -155,6 +155,45 @@ def test_permutation_keeps_values(spark):
         assert all(x.b == str(x.i % 7) for x in part) and sum(x.a != x.i for x in part) > 80
 
 
+def test_permutations_are_bijections():
+    for n in (1, 2, 3, 7, 100, 101, 4096, 9973):
+        seen = [tuple(ev.permutation(np.arange(n), n, key)) for key in (0, 1, 42)]
+        assert all(sorted(p) == list(range(n)) for p in seen)
+        assert n < 7 or len(set(seen)) == 3
+    far = np.array([0, 10 ** 12 - 1, 5 * 10 ** 11])
+    assert (ev.permutation(far, 10 ** 12, 3) < 10 ** 12).all() and len(ev.permutation(np.arange(0), 0, 1)) == 0
+    moved = ev.permutation(np.arange(9973), 9973, 5)
+    assert abs(np.corrcoef(moved, np.arange(9973))[0, 1]) < 0.05
+
+
+def test_importances_equal_numpy_with_the_same_permutation(spark):
+    df = spark.createDataFrame([(i, float(i), str(i % 7)) for i in range(200)], "i long, a double, b string")
+    rows = ev.shuffled(df, ["a", "b"], "i", 2, seed=9).collect()
+    assert len(rows) == 800
+    for r in (0, 1):
+        goes = ev.permutation(np.arange(200), 200, 9 * 1_000_003 + r)
+        for x in rows:
+            if x.repeat == r:
+                assert (x.a, x.b) == ((float(goes[x.i]), str(x.i % 7)) if x.feature == "a" else (float(x.i), str(goes[x.i] % 7)))
+    data = ex.fold_inputs(toy(spark), "y", "i", ["x", "noise"], ["c"], "DecisionTree")
+    fitted = ex.fit(data, "DecisionTree", {"max_depth": 3}, "balanced")
+    got = {r.feature: (r.importance, r.std) for r in ex.permutation_importance(data, fitted, "i", repeats=3, seed=4).collect()}
+    plain = data.rows.orderBy("i").toPandas()
+
+    def auc(frame):
+        scored = fitted.score(spark.createDataFrame(frame, data.rows.schema)).toPandas()
+        return brute_metrics(list(zip(scored["__label"].astype(int), scored["score"])))[1]
+
+    base = auc(plain)
+    drops = []
+    for r in range(3):
+        copy = plain.copy()
+        goes = ev.permutation(np.arange(len(plain)), len(plain), 4 * 1_000_003 + r)
+        copy["noise"] = plain["noise"].to_numpy()[goes]
+        drops.append(base - auc(copy))
+    assert got["noise"] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)
+
+
 def test_weights_and_names():
     with pytest.raises(ValueError, match="options"):
         md.grid_points("Perceptron")
