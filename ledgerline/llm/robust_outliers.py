@@ -169,10 +169,10 @@ def estimates(rows: DataFrame, p: Outliers) -> DataFrame:
         start |= {f"l{i}{j}": F.sqrt(F.pow(spread / SCALE / 1.349, 2) + p.least_spread[i] ** 2) if i == j else F.lit(0.0) for j in range(i + 1)}
     estimate = stored(middles.select("__group", *[c.alias(k) for k, c in start.items()]))
     for _ in range(p.steps):
-        distances = _with_distance(used, estimate)
-        nearest = distances.join(_quantile_bins(distances, {"edge": p.share}), "__group").filter(_bin(F.col("__d2")) <= F.col("edge"))
-        estimate = stored(_moments(nearest, p))
-    middle = _quantile_bins(_with_distance(used, estimate), {"edge": 0.5})
+        distances = _with_distance(used, sized(estimate, p.broadcast_groups))
+        edges = sized(stored(_quantile_bins(distances, {"edge": p.share})), p.broadcast_groups)  # a row a group
+        estimate = stored(_moments(distances.join(edges, "__group").filter(_bin(F.col("__d2")) <= F.col("edge")), p))
+    middle = _quantile_bins(_with_distance(used, sized(estimate, p.broadcast_groups)), {"edge": 0.5})
     scale = F.greatest((F.pow(2.0, (F.col("edge") + 0.5) / _BINS) - 1) / 16 / _MEDIAN_CHI2_5, F.lit(0.25))
     return stored(estimate.join(middle.select("__group", scale.alias("scale")), "__group"))
 
@@ -191,8 +191,8 @@ def judge(docs: DataFrame, p: Outliers = Outliers(), keep: Sequence[str] = ("doc
     counted = with_counts(needed).withColumn("base_failed", base_failed(p))
     held = stored(counted.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang", "source"])], *COUNTS, "base_failed", *_statistics()))
     rows = _with_groups(held, p)
-    estimate = estimates(_with_groups(held.drop(*[c for c in carried if c not in ("lang", "source")]), p), p)
-    judged = _with_distance(rows, estimate.drop("scale")).join(estimate.select("__group", "scale"), "__group", "left")
+    estimate = sized(estimates(_with_groups(held.drop(*[c for c in carried if c not in ("lang", "source")]), p), p), p.broadcast_groups)
+    judged = _with_distance(rows, estimate)
     distance = F.round(F.col("__d2") / F.col("scale"), 6)
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= p.cutoff)
     return judged.select(*[F.col(f"`{c}`") for c in carried], *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
