@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +34,68 @@ def text_vectors(model: PipelineModel, texts: DataFrame, out: str = "embedding")
     return rows.withColumn(out, vector_to_array("__unit", "float32")).drop("__tokens", "__tf", "__tfidf", "__unit")
 
 
+def fit_projection(vectors: DataFrame, vector: str = "embedding", dims: int = 64, extra: int = 16, passes: int = 2, seed: int = 7) -> np.ndarray:
+    """Directions (width x ``dims``, orthonormal) that keep most of the vectors, by a randomised singular value decomposition.
+
+    Random directions are pulled through the vectors ``passes`` times, which turns them
+    towards the largest singular ones; a last small decomposition orders them. A pass reads
+    the vectors once: each task adds up a matrix of width x (dims + extra), and the matrices
+    are added by rows, 64 tasks at a time at most. Only such matrices reach the driver. The
+    directions are fewer than ``dims`` where the vectors are.
+    """
+    first = vectors.select(F.size(vector).alias("n")).filter("n > 0").first()
+    if first is None:
+        return np.zeros((0, dims))
+    width = first.n
+    span = min(width, dims + extra)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, span)))[0]
+    for _ in range(passes):
+        basis, _ = np.linalg.qr(_through(vectors, vector, basis))
+    # the vectors' part in the span, in its coordinates: eigenvectors of its small Gram matrix
+    gram = basis.T @ _through(vectors, vector, basis)
+    values, turns = np.linalg.eigh((gram + gram.T) / 2)
+    best = np.argsort(-values, kind="stable")[:min(dims, span)]
+    found = basis @ turns[:, best]
+    largest = np.abs(found).argmax(axis=0)
+    return found * np.where(found[largest, np.arange(found.shape[1])] < 0, -1.0, 1.0)  # one of both signs
+
+
+def _through(vectors: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
+    """Transposed vectors times vectors times ``basis``, summed over all rows."""
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shared.value.shape)
+        for pdf in batches:
+            rows = [v for v in pdf[vector] if v is not None and len(v)]
+            if rows:
+                m = np.stack(rows).astype("float64")
+                total += m.T @ (m @ shared.value)
+        task = TaskContext.get().partitionId()
+        yield pd.DataFrame({"line": np.arange(len(total)), "task": task, "sums": list(total)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"line": [pdf["line"].iloc[0]], "task": [pdf["task"].iloc[0]], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]})
+
+    ddl = "line long, task long, sums array<double>"
+    sums, tasks = vectors.select(vector).mapInPandas(part, ddl), vectors.rdd.getNumPartitions()
+    while tasks > 1:  # the matrices of 64 tasks become one
+        sums = sums.withColumn("task", F.floor(F.col("task") / 64)).groupBy("line", "task").applyInPandas(added, ddl)
+        tasks = -(-tasks // 64)
+    return np.stack(sums.orderBy("line").toPandas()["sums"].to_numpy())
+
+
+def project(vectors: DataFrame, directions: np.ndarray, vector: str = "embedding", out: str = "dense") -> DataFrame:
+    """``vectors`` with their coordinates in the directions; a null or empty vector has none (null)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(directions)
+
+    @F.pandas_udf("array<float>")
+    def dense(column: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or not len(v) else (np.asarray(v, np.float64) @ shared.value).astype(np.float32) for v in column], dtype=object)
+
+    return vectors.withColumn(out, dense(vector))
+
+
 def topk_similar(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str,
                  vector: str = "embedding", max_query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k corpus rows most similar to each query by cosine: (query_id, corpus_id, score, rank).

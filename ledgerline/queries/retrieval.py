@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed_values as fixed
 from ledgerline.operators import prompts
 from ledgerline.operators.chunks import recursive_chunks, window_chunks
-from ledgerline.operators.vectors import fit_text_vectors, text_vectors, topk_similar
+from ledgerline.operators.vectors import fit_projection, fit_text_vectors, project, text_vectors, topk_similar
 from ledgerline.plans.retrieval import JOBS, nearest_chunks, prompts_for
 from ledgerline.queries.registry import Tables, query
+from ledgerline.sources.shared import stored
 
 _WORDS = r"list_filter(string_split_regex(text, '[ \t\r\n\f]+'), lambda w: w <> '')"
 
@@ -43,6 +44,16 @@ def tfidf_vectors(t):
                           F.size(F.filter("embedding", lambda x: x != 0)).alias("terms"))
 
 
+@query()
+def dense_text_vectors(t):
+    """Norms before and after projection to 64 dense dimensions."""
+    vectors = text_vectors(fit_text_vectors(t.documents, "text"), t.documents.select("doc_id", "text")).select("doc_id", "embedding")
+    stored_vectors = stored(vectors)
+    found = project(stored_vectors, fit_projection(stored_vectors))
+    norm = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x), 3)
+    return found.select("doc_id", norm("embedding").alias("norm"), norm("dense").alias("kept_norm"), F.size("dense").alias("dims"))
+
+
 def label_centres(t: Tables) -> DataFrame:
     """Mean vector of each label, as the questions."""
     cells = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
