@@ -60,7 +60,7 @@ def hot_groups(df: DataFrame, keys: str | Sequence[str], position: ColumnLike) -
     """Find the groups to split and the quantiles of ``position`` to split them at.
 
     Only if some group is too large, a pass over the rows of those groups takes the
-    quantiles. What is collected is bounded by MAX_HOT_GROUPS and MAX_PARTS.
+    quantiles. What is collected has a row for each oversized group, with MAX_PARTS quantiles at most.
     """
     keys = names(keys)
     keyed = df.select(*keys, col(position).cast("double").alias("__pos"))

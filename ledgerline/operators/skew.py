@@ -11,32 +11,46 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import hot_group_rows
 
-# Bounds on what is collected and broadcast: at most this many groups are split (the
-# largest ones), into at most this many parts altogether.
-MAX_HOT_GROUPS = 2_000
+# A group is dealt into at most this many parts.
 MAX_PARTS = 10_000
 
+# Groups that the sketch of frequent keys follows. It can miss one of fewer rows than this part of
+# all rows; where smaller groups are oversized, all keys are counted.
+TRACKED = 100_000
+MISSED = 4 / TRACKED
+
 _SALT, _PARTS = "__salt", "__parts"
 
 
 def oversized(df: DataFrame, keys: Sequence[str]) -> list[Row]:
-    """Key values and row counts (``__n``) of groups with more rows than one task should get.
+    """Key values and row counts (``__n``) of all groups with more rows than one task should get.
 
-    One count per key, skipped when the table has no more rows than one group may have
-    (a hot key compresses too well for its bytes to tell). If more than MAX_HOT_GROUPS are oversized, those left out each hold less
-    than 1/MAX_HOT_GROUPS of the rows.
+    Skipped when the table has no more rows than one group may have (a hot key compresses too
+    well for its bytes to tell). Each task keeps a sketch of its frequent keys, the sketches
+    are merged, and only the rows of the few keys that may be oversized are counted exactly;
+    no key is shuffled to find that there are none. What is collected has a row for each
+    oversized group: with n rows and the limit l there are fewer than n / l.
     """
     limit = hot_group_rows(df.sparkSession)
-    if df.count() <= limit:
+    n = df.count()
+    if n <= limit:
         return []
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    return counts.orderBy(F.desc("__n")).limit(MAX_HOT_GROUPS).collect()
+    rows = df
+    if keys and limit >= MISSED * n:
+        hashed = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+        kept = min(TRACKED, 2 * math.ceil(n / limit) + 1)
+        sketch = df.agg(F.call_function("approx_top_k", hashed, F.lit(kept), F.lit(TRACKED)).alias("top")).first()["top"]
+        likely = [r["item"] for r in sketch if r["count"] + MISSED * n > limit]
+        if not likely:
+            return []
+        table = df.sparkSession.createDataFrame([(h,) for h in likely], "__h long")
+        rows = df.join(F.broadcast(table), hashed == F.col("__h"), "left_semi")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).collect()
 
 
 def parts_of(found: Sequence[Row], limit: int) -> list[int]:
-    """Number of parts per oversized group, MAX_PARTS or so in total."""
-    rows_per_part = max(limit, sum(r["__n"] for r in found) // MAX_PARTS + 1)
-    return [math.ceil(r["__n"] / rows_per_part) for r in found]
+    """Number of parts of each oversized group, at least two: all together fewer than twice the rows over the limit."""
+    return [min(math.ceil(r["__n"] / limit), MAX_PARTS) for r in found]
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str = "left", null_safe: bool = False,

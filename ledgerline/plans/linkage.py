@@ -211,9 +211,13 @@ def link_stays(ledger: DataFrame, stays: DataFrame) -> DataFrame:
     return asof.nearest_within(ledger, keyed, KEY, "event_time", STAY_TIME, STAY_FIELDS, ROW, prefix="EH_cercano_a_IAE_")
 
 
+# Tables of which no step takes a first or last row.
+UNORDERED = ("deaths", "alerts")
+
+
 def numbered(tables: Mapping[str, DataFrame | None]) -> dict[str, DataFrame | None]:
-    """Write down the row order of every table that does not carry one yet."""
-    return {n: t if t is None or ROW in t.columns else with_row_order(t, ROW) for n, t in tables.items()}
+    """Write down the row order of every table whose order is used and that does not carry one yet."""
+    return {n: t if t is None or n in UNORDERED or ROW in t.columns else with_row_order(t, ROW) for n, t in tables.items()}
 
 
 def distinct_registry(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed_values as fixed
 from ledgerline.operators import prompts
 from ledgerline.operators.chunks import recursive_chunks, window_chunks
+from ledgerline.operators.pruned import fit_clusters, pruned_topk
 from ledgerline.operators.vectors import fit_projection, fit_text_vectors, project, text_vectors, topk_similar
 from ledgerline.plans.retrieval import JOBS, nearest_chunks, prompts_for
 from ledgerline.queries.registry import Tables, query
@@ -62,16 +63,26 @@ def label_centres(t: Tables) -> DataFrame:
     return means.groupBy("label").agg(F.transform(ordered, lambda s: s.m).alias("embedding"))
 
 
-@query("""WITH c AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+TOPK_SQL = """WITH c AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
  m AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(x) AS m FROM c GROUP BY label, i) GROUP BY label),
  s AS (SELECT m.label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 9) AS score FROM embeddings e, m),
  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT label, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3""")
+SELECT label, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3"""
+
+
+@query(TOPK_SQL)
 def topk_similar_vectors(t):
     hits = topk_similar(t.embeddings, label_centres(t), 3, "vec_id", "label")
     return hits.select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(TOPK_SQL)
+def topk_pruned_vectors(t):
+    """The same rows from an index of clusters, most of which are passed over."""
+    hits = pruned_topk(fit_clusters(t.embeddings, "vec_id"), label_centres(t), 3, "label")
+    return hits.select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 

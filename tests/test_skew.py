@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import link, rows, stats
+from ledgerline.operators import link, rows, skew, stats
 from ledgerline.operators.skew import join_unique, oversized
 
 
@@ -62,3 +62,21 @@ def test_operators_agree(spark, frames):
             assert sorted(map(str, f().collect())) == plain[n], n
     finally:
         spark.conf.unset("spark.ledgerline.hotGroupRows")
+
+
+@pytest.mark.parametrize("sketch", [True, False])
+def test_all_of_many_oversized_keys_are_found_and_spread(spark, monkeypatch, sketch):
+    monkeypatch.setattr(skew, "MISSED", 1e-6 if sketch else 1.0)
+    keys = spark.range(5000).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("k"))  # one key is null
+    left = keys.withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(7)))).unionByName(spark.range(3000).select(F.concat(F.lit("rare"), "id").alias("k"), F.lit(1).alias("v")))
+    right = keys.filter("k IS NOT NULL").select(F.col("k").alias("r"), F.length("k").alias("w"))
+    spark.conf.set("spark.ledgerline.hotGroupRows", "6")
+    try:
+        found = skew.oversized(left, ["k"])
+        assert len(found) == 5000 and all(r["__n"] == 7 for r in found)
+        assert all(n == 2 for n in skew.parts_of(found, 6))
+        got = join_unique(left, right, {"k": "r"}, hot=found)
+        assert got.count() == 38000 and got.filter("w IS NULL").count() == 3007
+        assert got.filter("w = length(k)").count() == 4999 * 7
+    finally:
+        spark.conf.unset("spark.ledgerline.hotGroupRows")
