@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -277,6 +278,47 @@ def test_links_in_buckets_of_unlike_texts_are_found(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [None, 16])
+def test_links_of_texts_without_rare_words_are_found(spark, block):
+    """Every k-mer is in many classes, and so is every bucket; links are between texts that are not the shortest."""
+    rng = random.Random(13)
+    parts = [[[f"w{i}v{v}n{n}" for n in range(4)] for v in range(2)] for i in range(50)]
+    chosen = [[rng.randrange(2) for _ in parts] for _ in range(300)]
+    for c in chosen[:80]:
+        copy = list(c)
+        for i in rng.sample(range(50), rng.choice((9, 10))):
+            copy[i] = 1 - copy[i]
+        chosen.append(copy)
+    texts = [" ".join(w for i, v in enumerate(c) for w in parts[i][v]) for c in chosen]
+    low = list(range(len(texts)))
+
+    def top(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if order_minhash.word_similarity(texts[i], texts[j], 0.8) >= 0.8]
+    for i, j in links:
+        low[max(top(i), top(j))] = min(top(i), top(j))
+    p = order_minhash.OrderMinHash(**({"block": block} if block else {}))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df, p).collect()}
+    assert len(links) >= 60 and got == {i: top(i) for i in range(len(texts))}
+
+
+def test_signatures_lose_no_link():
+    rng = random.Random(14)
+    for _ in range(300):
+        a = [rng.choice("abcdefghij") for _ in range(rng.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + 1] = rng.choice(([], [rng.choice("abcdxyz")], [rng.choice("abcdxyz")] * 2))
+        counts = [np.frombuffer(order_minhash.signature(order_minhash.word_hashes(" ".join(t))), np.uint8).astype(int) for t in (a, b)]
+        far = sum(np.abs((counts[0] >> s & 15) - (counts[1] >> s & 15)).sum() for s in (0, 4))
+        assert far <= 2 * edits(a, b) - abs(len(a) - len(b))
+
+
 # --- n-gram model -----------------------------------------------------------------
 
 def brute_kneser_ney(sentences):
