@@ -6,15 +6,18 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ledgerline.sources.shared import spread
 
 # Split first on blank lines, then lines, then spaces, then characters.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
+HELD_CHARS = 1 << 20  # characters of chunks that a worker holds before it passes them on
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -32,13 +35,39 @@ def recursive_chunks(documents: DataFrame, size: int, overlap: int, text: str =
         raise ValueError(f"overlap {overlap} is larger than the chunk size {size}")
     length = {"chars": len, "tokens": token_count}[unit]
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: split_text(t, size, overlap, length) if t else [])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunk_batches(batches, text, number, out, lambda t: split_text(t, size, overlap, length))
 
-    others = [c for c in documents.columns if c != text]
-    return spread(documents).select(*others, F.posexplode(split(text)).alias(number, out))
+    schema = StructType([f for f in documents.schema.fields if f.name != text]).add(number, IntegerType()).add(out, StringType())
+    return spread(documents).mapInArrow(split, schema)
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], text: str, number: str, out: str, split: Callable[[str], list[str]],
+                  held_chars: int = HELD_CHARS) -> Iterator[pa.RecordBatch]:
+    """Rows of all columns but ``text``, with the number and text of each chunk.
+
+    Texts become Python strings one at a time, and chunks are passed on whenever they have
+    ``held_chars`` characters, so what a worker holds does not grow with its batches.
+    """
+    for batch in batches:
+        others = [c for c in batch.schema.names if c != text]
+        rows, numbers, chunks, held = [], [], [], 0
+
+        def made():
+            columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in others]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], names=[*others, number, out])
+
+        for row, cell in enumerate(batch.column(text)):
+            for i, chunk in enumerate(split(t) if (t := cell.as_py()) else ()):
+                rows.append(row)
+                numbers.append(i)
+                chunks.append(chunk)
+                held += len(chunk)
+                if held >= held_chars:
+                    yield made()
+                    rows, numbers, chunks, held = [], [], [], 0
+        if rows:
+            yield made()
 
 
 def split_text(text: str, size: int, overlap: int, length: Callable[[str], int] = len,

@@ -4,12 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed_values as fixed
 from ledgerline.operators import prompts
-from ledgerline.operators.chunks import recursive_chunks, split_text, token_count, window_chunks
+from ledgerline.operators.chunks import chunk_batches, recursive_chunks, split_text, token_count, window_chunks
 from ledgerline.operators.vectors import fit_text_vectors, text_vectors, topk_similar
 from ledgerline.plans.retrieval import Retrieval, prompts_for
 from ledgerline.sources.documents import html_text, open_vectors, read_documents, store_vectors
@@ -149,3 +150,13 @@ def test_documents(spark, tmp_path):
 def test_html(spark):
     page = "<html><head><title>T</title><script>a<b</script></head><body><h1>Hi &amp;amp; you</h1><!-- no --><p>a&lt;b  <b>c</b><br>d</p></body></html>"
     assert spark.range(1).select(html_text(F.lit(page))).first()[0] == "Hi &amp; you\na<b c\nd"
+
+
+def test_chunks_are_passed_on_in_small_batches():
+    texts = ["one two three four five six " * 40, None, "", "seven eight"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "source": ["a", "b", "c", None]})
+    split = lambda t: split_text(t, 20, 5)
+    found = list(chunk_batches(iter([batch, batch]), "text", "chunk_no", "chunk", split, held_chars=100))
+    assert len(found) > 10 and all(sum(map(len, b.column("chunk").to_pylist())) < 120 for b in found)
+    want = [(i, s, n, c) for i, t, s in zip((1, 2, 3, 4), texts, ("a", "b", "c", None)) for n, c in enumerate(split(t) if t else [])]
+    assert [tuple(r[c] for c in ("doc_id", "source", "chunk_no", "chunk")) for b in found for r in b.to_pylist()] == want * 2
