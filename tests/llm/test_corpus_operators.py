@@ -319,6 +319,20 @@ def test_signatures_lose_no_link():
         assert far <= 2 * edits(a, b) - abs(len(a) - len(b))
 
 
+def test_unlike_texts_that_share_a_passage_are_compared_once(spark, monkeypatch):
+    """Texts that meet in many buckets are one pair, and counts of words tell most of the unlike ones apart."""
+    rng = random.Random(15)
+    passage = [f"p{i}" for i in range(560)]
+    texts = [passage + [f"w{rng.randrange(3000)}" for _ in range(220)] for _ in range(40)]
+    texts.append(texts[7][:700] + ["x"] * 80)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made, compared = [], order_minhash._compared
+    monkeypatch.setattr(order_minhash, "_compared", lambda blocks, p: made.append(order_minhash.stored(compared(blocks, p))) or made[-1])
+    classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs, order_minhash.OrderMinHash(early=0, few=1000)).collect()}
+    pairs = [(r.a, r.b) for r in made[0].collect()]
+    assert len(pairs) == len(set(pairs)) < 40 and classes == {i: 7 if i == 40 else i for i in range(41)}
+
+
 # --- n-gram model -----------------------------------------------------------------
 
 def brute_kneser_ney(sentences):
