@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from ledgerline.sources.shared import stored
 
 _MISSING = 0
-CELLS_AT_ONCE = 4_000_000  # sums that a pass may bring to the driver
-FEW_TASKS = 8  # the driver adds up the sums of so many tasks itself
-MARGINS_A_TASK = 200_000  # rows times models; fewer are not worth a task of their own
+CELLS_AT_ONCE = 4_000_000  # sums that a pass may bring to the driver, which adds up those of all tasks itself if there are no more
+MARGINS_A_TASK = 50_000  # rows times models; fewer are not worth a task of their own
 
 
 @dataclass(frozen=True)
@@ -64,19 +63,25 @@ class Tree:
         n = 1 << depth + 1
         return cls(np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n), np.zeros(n))
 
+    def _ends(self, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The entry in ``of`` of the node that each row of codes ends in; each split is one comparison of whole columns."""
+        def below(node: int) -> np.ndarray:
+            if self.feature[node] < 0:
+                return of[node]
+            code, cut = codes[:, self.feature[node]], np.uint16(self.cut[node])
+            # 0, for missing, is below all cuts; one less than it is above all
+            left = code <= cut if self.missing_left[node] else code - np.uint16(1) < cut
+            return np.where(left, below(2 * node), below(2 * node + 1))
+
+        found = below(1)
+        return found if np.ndim(found) else np.full(len(codes), found)
+
     def leaves(self, codes: np.ndarray) -> np.ndarray:
         """The node that each row of codes ends in."""
-        node, rows = np.ones(len(codes), np.int64), np.arange(len(codes))
-        while True:
-            inner = self.feature[node] >= 0
-            if not inner.any():
-                return node
-            code = codes[rows, np.maximum(self.feature[node], 0)].astype(np.int64)
-            left = np.where(code == _MISSING, self.missing_left[node], code <= self.cut[node])
-            node = np.where(inner, 2 * node + ~left, node)
+        return self._ends(codes, np.arange(len(self.feature), dtype=np.int32))
 
     def margins(self, codes: np.ndarray) -> np.ndarray:
-        return self.value[self.leaves(codes)]
+        return self._ends(codes, self.value)
 
 
 @dataclass
@@ -101,7 +106,7 @@ class Binning:
 
     def codes(self, batch: pa.RecordBatch) -> np.ndarray:
         """uint16 codes of the rows of a batch: 0 for missing, then the number of the bin."""
-        out = np.zeros((batch.num_rows, len(self.names)), np.uint16)
+        out = np.zeros((batch.num_rows, len(self.names)), np.uint16, order="F")
         for k, (c, edges) in enumerate(zip(self.numeric, self.edges)):
             value = batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
             out[:, k] = np.where(np.isnan(value), _MISSING, np.searchsorted(edges, value, side="left") + 1)
@@ -194,7 +199,8 @@ def score_folds(df: DataFrame, fold: str, models: dict[int, Sequence[Boosted]],
 
 def _state(df: DataFrame, binning: Binning, label: str, fold: str | None, bases: list[float], n: int) -> DataFrame:
     """codes, y, fold and the margins of all models of the ``n`` rows."""
-    rows = df.coalesce(max(1, n * len(bases) // MARGINS_A_TASK)).select(*binning.columns, F.col(label).cast("double").alias("__y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"))
+    spread = min(df.sparkSession.sparkContext.defaultParallelism, n * len(bases) // MARGINS_A_TASK)  # every pass is a job over them
+    rows = df.repartition(max(1, spread)).select(*binning.columns, F.col(label).cast("double").alias("__y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +215,7 @@ def _state(df: DataFrame, binning: Binning, label: str, fold: str | None, bases:
 def _unpacked(batch: pa.RecordBatch, features: int, new: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """codes, y, fold, and margins (a row a model) with the trees since they were written."""
     n = batch.num_rows
-    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint16).reshape(n, features)
+    codes = np.asfortranarray(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint16).reshape(n, features))
     margins = np.array(batch.column("margins").flatten().to_numpy(zero_copy_only=False).reshape(n, len(new)).T, order="C")
     for m, trees in enumerate(new):
         for t in trees:
@@ -319,7 +325,8 @@ def fit_boosted(df: DataFrame, binning: Binning, label: str, tasks: Sequence[Tas
 
 
 def _fit_together(state: DataFrame, tasks: list[Task], features: int, width: int, stored_rounds: int) -> list[list[Tree]]:
-    depth, few = tasks[0].params.depth, state.rdd.getNumPartitions() <= FEW_TASKS
+    depth = tasks[0].params.depth
+    few = state.rdd.getNumPartitions() * (len(tasks) << depth - 1) * features * width <= CELLS_AT_ONCE
     done: list[list[Tree]] = [[] for _ in tasks]
     new: list[list[Tree]] = [[] for _ in tasks]
     for turn in range(max(t.params.rounds for t in tasks)):

@@ -117,3 +117,9 @@ def test_models_of_odd_tables(spark):
     sure = bo.fit_boosted(one, bo.plan_bins(one, ["x", "z"], ["c"]), "y", [bo.Task(bo.Boosting(2))])[0]
     assert all(r.score > 0.99 for r in sure.score(one).collect())
     assert not np.any([t.feature[1] >= 0 for t in sure.trees])
+
+
+def test_rows_are_dealt_to_all_cores(spark):
+    df = spark.range(100_000).selectExpr("id % 7 AS x", "id % 2 AS y")
+    state = bo._state(df, bo.plan_bins(df, ["x"]), "y", None, [0.0] * 4, 100_000)
+    assert state.rdd.getNumPartitions() == 8 and state.count() == 100_000
