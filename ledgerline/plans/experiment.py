@@ -209,7 +209,8 @@ def permutation_importance(data: Folded, fitted: Fitted, ordinal: str, metric: s
     copies = ev.shuffled(numbered, data.spec.columns, "__index", repeats, seed)
     if data.spec.gaps:
         copies = copies.withColumns({f"{c}_missing": missing(c).cast("double") for c in data.spec.gaps})
-    scores = ev.metrics(fitted.score(copies), md.SCORE, md.LABEL, threshold, ["feature", "repeat"])
+    scored = stored(fitted.score(copies).select("feature", "repeat", md.LABEL, md.SCORE))  # the metrics read it several times
+    scores = ev.metrics(scored, md.SCORE, md.LABEL, threshold, ["feature", "repeat"])
     drop = F.lit(base) - F.col(metric)
     return scores.groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std")).orderBy(
         F.desc("importance"), "feature")
