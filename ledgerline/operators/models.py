@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping
 
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +66,7 @@ def is_scaled(name: str) -> bool:
 
 
 def build_classifier(name: str, params: Mapping, total_weight: float, seed: int = 33):
-    """MLlib estimator for one grid point.
+    """Estimator for one grid point.
 
     The inverse penalty C sums the loss over rows where MLlib averages it, hence the
     total weight. A minimum of s rows to split is read as s/2 rows per child.
@@ -76,7 +76,7 @@ def build_classifier(name: str, params: Mapping, total_weight: float, seed: int
     if name in ("LogisticRegression", "SVM"):
         penalty = 1.0 / (params.get("C", 1.0) * total_weight)
         if name == "SVM":
-            return CalibratedSVM(LinearSVC(**common, regParam=penalty, maxIter=100, standardization=False), params.get("kernel", "linear"), seed)
+            return CalibratedSVM(penalty, params.get("kernel", "linear"), seed)
         return LogisticRegression(**common, regParam=penalty, elasticNetParam=0.0, maxIter=1000, standardization=False)
     depth = params.get("max_depth", 5) or DEEPEST
     leaf = max(1, params.get("min_samples_split", 2) // 2)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def test_kernel_tells_a_ring_and_scores_are_probabilities(spark):
     assert {p["kernel"] for p in md.grid_points("SVM")} == {"linear", "rbf"}
 
 
+def test_machines_are_those_of_linear_svc_in_shared_passes(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(0, 1, 3000), rng.normal(300, 40, 3000), rng.integers(0, 2, 3000), np.ones(3000)])
+    y = (x[:, 0] + x[:, 1] / 40 + 0.6 * x[:, 2] + rng.normal(0, 0.8, 3000) > 8).astype(float)
+    rows = [(r.tolist(), t, 1.0 + t, i % 4) for i, (r, t) in enumerate(zip(x, y.tolist()))]
+    df = spark.createDataFrame(rows, f"a array<double>, {mg.LABEL} double, {mg.WEIGHT} double, fold int").withColumn(mg.FEATURES, array_to_vector("a")).repartition(3).persist()
+    sc, group = spark.sparkContext, "machines of shared passes"
+    sc.setJobGroup(group, group)
+    fitted = md.build_classifier("SVM", {"C": 1, "kernel": "linear"}, 3000.0).fit(df)
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 300  # five machines one after the other took several times that
+    blocks = mg._blocks(df, None, 3)
+    found = mg.fit_machines(blocks, [2, None], 1 / 3000)
+    plain = LinearSVC(featuresCol=mg.FEATURES, labelCol=mg.LABEL, weightCol=mg.WEIGHT, regParam=1 / 3000, maxIter=100, standardization=False)
+    for machine, part in zip(found, (df.filter("fold <> 2"), df)):
+        want = plain.fit(part)
+        assert np.allclose(machine.coefficients, want.coefficients.toArray(), rtol=1e-2, atol=1e-3)
+        assert machine.intercept == pytest.approx(want.intercept, rel=1e-2)
+    assert np.allclose(fitted.machine.coefficients, found[1].coefficients)
+
+
 def test_forest_prefixes(spark):
     data = ex.fold_inputs(ring(spark), "y", "i", ["x", "z"], ["c"], "RandomForest", folds=3)
     fitted = ex.fit(data, "RandomForest", {"n_estimators": 12, "max_depth": 4}, "balanced")
