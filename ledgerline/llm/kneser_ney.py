@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts of trigrams, of the contexts they continue and of the discounts come from grouped
-sums and joins on the n-gram keys. All trusted text is counted, and the model stays in
-tables: the distinct trigrams of each document, with how often it has them, are joined with
-the tables of trigrams, contexts, bigrams and words, and the logs are summed by document.
+All trusted text is counted. ``classify`` deals the trigrams of trusted text and of documents
+into parts by their middle word and joins them there (``ngram_shards.py``), so that no table of
+all trigrams is kept. ``train`` makes such tables, for a model that is used again: counts and
+discounts come from grouped sums and joins on the n-gram keys, and ``perplexities`` joins the
+distinct trigrams of each document with them. Both give the same perplexities.
 A document is kept if its perplexity is within a quantile of all documents of its language.
 """
 
@@ -19,17 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, sized, texts
+from ledgerline.llm import ngram_shards
+from ledgerline.llm.common import arrow_map, shuffle_partitions, sized, texts
+from ledgerline.llm.ngram_shards import END, START, UNKNOWN, hashed_words
 from ledgerline.sources.shared import stored
 
-START, END, UNKNOWN = 0, 1, 2
 _FIRST_WORD = 3
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_GAP = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 @dataclass(frozen=True)
@@ -39,11 +36,17 @@ class KneserNey:
     Words of more than ``word_bytes`` bytes count as unknown. ``quantile`` is the share of
     each language's documents whose perplexity is accepted. Tables of words of up to
     ``broadcast_rows`` rows are sent to all tasks, larger ones are joined.
+
+    Without tables of all trigrams, parts of up to ``part_words`` trigrams are done in ``passes``
+    passes over slices of ``slice_bytes`` bytes of text; none of these changes a result.
     """
 
     word_bytes: int = 64
     quantile: float = 0.99
     broadcast_rows: int = 1_000_000
+    passes: int = 6
+    part_words: int = 2_000_000
+    slice_bytes: int = 8 << 20
 
 
 @dataclass
@@ -76,31 +79,6 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1), base, np.uint64))))
-
-
-def hashed_words(data: bytes, word_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each lower-cased word of UTF-8 text; that of a word of too many bytes is UNKNOWN."""
-    points = _LOWER[np.frombuffer(data, np.uint8)]
-    edge = np.diff(np.concatenate(([True], _GAP[points], [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    size = end - start
-    h = np.zeros(len(start), np.uint64)
-    powers = _powers(_BASE, word_bytes)
-    with np.errstate(over="ignore"):
-        order = np.argsort(-size, kind="stable")  # words still going come first
-        at, longest = start[order], -size[order]
-        for j in range(min(word_bytes, int(size.max(initial=0)))):
-            live = order[:np.searchsorted(longest, -j, side="left")]
-            h[live] += (points[start[live] + j].astype(np.uint64) + np.uint64(1)) * powers[j]
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-        h ^= h >> np.uint64(29)
-    h[size > word_bytes] = UNKNOWN
-    return start, h.view(np.int64)
-
-
 def _grams(docs: DataFrame, p: KneserNey) -> DataFrame:
     """The distinct trigrams (u, v, w) of each row with their number n; one of a row's has its doc_id and lang."""
     def make():
@@ -150,7 +128,10 @@ def _sample(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """The three modified discounts from the counts of counts (column c)."""
-    n = {r.c: r.n for r in counts.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _cuts({r.c: r.n for r in counts.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
+
+
+def _cuts(n: dict[int, int]) -> tuple[float, float, float]:
     n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
     if not n1 or not n2:
         return 0.5, 0.5, 0.5
@@ -172,6 +153,16 @@ def _level(counts: DataFrame, context: list[str], below: DataFrame, key: list[st
     return stored(joined.select(*context, "w", F.log(p).alias("lp"))), totals.select(*context, F.log(F.col("off") / F.col("total")).alias("lw"))
 
 
+def _words(uni: DataFrame) -> tuple[DataFrame, float, bool]:
+    """(``uni`` (w, c) with p, the probability of a word not in it, whether unknown words occur)."""
+    off = _off(_discounts(uni))
+    known = F.count_if(~F.col("w").isin(END, UNKNOWN))
+    sums = uni.agg(F.sum("c").alias("total"), F.sum(off).alias("off"), known.alias("words"), F.count_if(F.col("w") == UNKNOWN).alias("unknown")).first()
+    possible = sums.words + _FIRST_WORD - 1  # all but the start; unknown stands for one word more
+    rest = sums.off / sums.total / possible if sums.total else 1.0 / possible
+    return uni.withColumn("p", (F.col("c") - off) / F.lit(float(sums.total or 1)) + F.lit(rest)), rest, bool(sums.unknown)
+
+
 def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Tables:
     """Model of the texts of the documents whose ids are in ``trusted``; without any, all words are equally likely."""
     sample = _sample(docs, trusted)
@@ -179,15 +170,11 @@ def train(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> Ta
     tri = stored(grams.groupBy("u", "v", "w").agg(F.sum("n").alias("c")))
     bi = stored(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")))  # continuation counts
     uni = stored(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    off = _off(_discounts(uni))
-    known = F.count_if(~F.col("w").isin(END, UNKNOWN))
-    sums = uni.agg(F.sum("c").alias("total"), F.sum(off).alias("off"), known.alias("words"), F.count_if(F.col("w") == UNKNOWN).alias("unknown")).first()
-    possible = sums.words + _FIRST_WORD - 1  # all but the start; unknown stands for one word more
-    rest = sums.off / sums.total / possible if sums.total else 1.0 / possible
-    p1 = stored(uni.select("w", F.log((F.col("c") - off) / F.lit(float(sums.total or 1)) + F.lit(rest)).alias("lp")))
+    p1, rest, unknown = _words(uni)
+    p1 = stored(p1.select("w", F.log("p").alias("lp")))
     p2, w1 = _level(bi, ["v"], sized(p1, p.broadcast_rows).withColumnRenamed("lp", "lower"), ["w"])
     p3, w2 = _level(tri, ["u", "v"], p2.withColumnRenamed("lp", "lower"), ["v", "w"])
-    return Tables(sample, p, p3, w2, p2, w1, p1, math.log(rest), bool(sums.unknown))
+    return Tables(sample, p, p3, w2, p2, w1, p1, math.log(rest), unknown)
 
 
 def _logs(grams: DataFrame, t: Tables) -> DataFrame:
@@ -228,6 +215,55 @@ def perplexities(docs: DataFrame, tables: Tables) -> DataFrame:
     return sums.select("doc_id", "lang", "n_tokens", F.exp(-F.col("total") / F.col("n_tokens")).alias("perplexity"))
 
 
+def _heavy(rows: DataFrame, p: KneserNey) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted words that have more than ``part_words`` trigrams around them, the number of pieces of each)."""
+    found = rows.filter("v IS NOT NULL").groupBy("v").agg(F.sum("n").alias("n")).filter(F.col("n") > p.part_words).orderBy("v").collect()
+    return np.array([r.v for r in found], np.int64), np.array([-(-r.n // p.part_words) for r in found], np.int64)
+
+
+def _common(words: DataFrame, p: KneserNey) -> DataFrame:
+    """The words (w, p) of the largest counts, up to ``broadcast_rows`` of them, and unknown."""
+    least, seen = 0, 0
+    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        seen += r.n
+        if seen > p.broadcast_rows:
+            least = r.c + 1
+            break
+    return words.filter((F.col("c") >= least) | (F.col("w") == UNKNOWN)).select("w", "p")
+
+
+def perplexities_by_parts(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> DataFrame:
+    """What ``perplexities(docs, train(docs, trusted, p))`` gives, without tables of all trigrams.
+
+    ``docs`` is read several times and has to give the same rows in the same order, as files do; that
+    all trigrams of a row came to it is checked at the end.
+    """
+    spark = docs.sparkSession
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    ids = stored(trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True)), free=True)
+    small = ids.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows
+    marked = mine.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("text", (F.col("text").isNotNull() & F.col("trusted").isNotNull()).alias("trusted"))
+    if not small:
+        marked = stored(marked, free=True)
+    rows = stored(ngram_shards.documents(mine, p.slice_bytes, p.word_bytes), free=True)
+    total = rows.filter("row IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    parts = max(min(2 * shuffle_partitions(spark), 512), -(-total // (p.passes * p.part_words)))
+    deal = ngram_shards.Deal(p.passes, parts, *_heavy(rows, p), p.slice_bytes, p.word_bytes)
+
+    table = ngram_shards.counts(marked, deal)
+    sizes = {k: {r.a: r.n for r in table.filter(F.col("kind") == k).groupBy("a").agg(F.sum("n").alias("n")).collect()}
+             for k in (ngram_shards.TRI_SIZES, ngram_shards.BI_SIZES)}
+    uni = stored(table.filter(F.col("kind") == ngram_shards.LAST).groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("c")), free=True)
+    words, rest, unknown = _words(uni)
+    common = _common(words, p).toArrow().sort_by("w")
+    model = spark.sparkContext.broadcast(ngram_shards.Model(*(_cuts(n) for n in sizes.values()), common["w"].to_numpy(), common["p"].to_numpy(), rest, unknown))
+    rare = ngram_shards.uncommon(docs.select("text"), deal, model).distinct().join(words.select("w", "p"), "w")
+    scores = ngram_shards.scored(marked, table, stored(rare.select("place", "w", "p"), free=True), deal, model)
+    out = rows.filter("row IS NOT NULL").withColumnRenamed("n", "n_tokens").join(scores, "row", "left")
+    whole = F.when(F.col("n") == F.col("n_tokens"), F.exp(-F.col("total") / F.col("n"))).otherwise(F.raise_error(F.lit("docs gave other rows when read again")).cast("double"))
+    return out.select("doc_id", "lang", "n_tokens", whole.alias("perplexity"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, kept of every document.
 
@@ -236,7 +272,7 @@ def classify(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) ->
     and has an end only; repeated rows are judged each; without trusted text every word
     is equally likely and all documents are kept.
     """
-    scored = stored(perplexities(docs, train(docs, trusted, p)))
+    scored = stored(perplexities_by_parts(docs, trusted, p), free=True)
     level = scored.groupBy("lang").agg(F.percentile_approx("perplexity", p.quantile, 10_000).alias("threshold"))
     joined = scored.join(level.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l"))).drop("__l")
     return joined.withColumn("kept", F.col("perplexity") <= F.col("threshold"))

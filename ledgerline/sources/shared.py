@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.operators.skew import estimated_bytes
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # An input that fills less than this per core is spread before heavy work on its rows.
 SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
@@ -32,14 +33,22 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, fmt: str = "parquet") -> DataFrame:
+def stored(df: DataFrame, fmt: str = "parquet", free: bool = False) -> DataFrame:
     """Write to a new place under the shared folder and read back.
 
     The result is computed once, lost executors cost no recomputation of it, and
-    later reads take only the columns they need.
+    later reads take only the columns they need. With ``free``, the shuffle files of
+    the write go when it ends, not when the driver next collects garbage.
     """
-    path = new_path(df.sparkSession)
-    df.write.format(fmt).save(path)
+    path, conf = new_path(df.sparkSession), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    if free:
+        conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.format(fmt).save(path)
+    finally:
+        if free:
+            conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import kneser_ney, language_centroids, order_minhash, robust_outliers, subword_lattice
+from ledgerline.llm import kneser_ney, language_centroids, ngram_shards, order_minhash, robust_outliers, subword_lattice
 from ledgerline.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -449,3 +449,26 @@ def test_remaining_queries_run(spark, sf_dir):
     n = documents(spark, sf_dir).count()
     for name in ("op5_language_centroids", "op6_subword_lattice", "op7_robust_outliers", "op8_order_minhash", "op9_kneser_ney"):
         assert QUERIES[name](spark, sf_dir).count() == n
+
+
+def test_parts_give_the_perplexities_of_the_tables(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    odd = [(-1, None, None), (-2, "en", ""), (-3, "en", " \t"), (-4, None, "  The the\x0bTHE a b \x85 c\x1cd  "), (-5, "en", "q" * 90), (-5, "en", "q" * 90), (None, "en", "the end")]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, lang string, text string"))
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(kneser_ney.trusted_ids()).select("doc_id")
+    for p in (kneser_ney.KneserNey(), kneser_ney.KneserNey(word_bytes=8, broadcast_rows=300, passes=2, part_words=2000, slice_bytes=20_000)):
+        want = kneser_ney.perplexities(docs, kneser_ney.train(docs, trusted, p)).collect()
+        got = kneser_ney.perplexities_by_parts(docs, trusted, p).collect()
+        key = lambda r: (r.doc_id is None, r.doc_id, r.perplexity)
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert (a.doc_id, a.lang, a.n_tokens) == (b.doc_id, b.lang, b.n_tokens) and math.isclose(a.perplexity, b.perplexity, rel_tol=1e-9)
+
+
+def test_no_shuffle_carries_all_trigrams(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("trusted", F.lit(True))
+    deal = ngram_shards.Deal(3, 4, np.array([], np.int64), np.array([], np.int64), 1 << 20, 64)
+    tokens = ngram_shards.documents(docs, 1 << 20, 64).filter("row IS NOT NULL").agg(F.sum("n")).first()[0]
+    passes = [ngram_shards._packed(docs, deal, i).agg(F.sum("size"), F.sum(F.octet_length("grams") + F.octet_length("words") + F.octet_length("of"))).first() for i in range(3)]
+    assert sum(n for n, _ in passes) == tokens and max(n for n, _ in passes) < 0.5 * tokens
+    assert sum(size for _, size in passes) < 24 * tokens
