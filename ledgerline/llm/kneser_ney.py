@@ -250,7 +250,8 @@ def perplexities_by_parts(docs: DataFrame, trusted: DataFrame, p: KneserNey = Kn
     parts = max(min(2 * shuffle_partitions(spark), 512), -(-total // (p.passes * p.part_words)))
     deal = ngram_shards.Deal(p.passes, parts, *_heavy(rows, p), p.slice_bytes, p.word_bytes)
 
-    table = ngram_shards.counts(marked, deal)
+    share = (rows.filter("row IS NOT NULL").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0) / max(total, 1)
+    table = ngram_shards.counts(marked, deal, max(1, math.ceil(p.passes * share / 2)))  # as nothing is sent back, half the passes do
     sizes = {k: {r.a: r.n for r in table.filter(F.col("kind") == k).groupBy("a").agg(F.sum("n").alias("n")).collect()}
              for k in (ngram_shards.TRI_SIZES, ngram_shards.BI_SIZES)}
     uni = stored(table.filter(F.col("kind") == ngram_shards.LAST).groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("c")), free=True)

@@ -9,7 +9,6 @@ A middle word of many trigrams has several parts, dealt by u; each gets the word
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -31,6 +30,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_SPLIT_BYTES = 1 << 20  # what is split into words at once stays in the cache
 _SPECIAL = np.array([START, END, UNKNOWN], np.int64)
 #: What a part gets: packed trigrams of a slice, a bigram of a split word, a trigram around unknown, a word's probability.
 GRAMS, PAIR, AROUND, WORD = 0, 1, 2, 3
@@ -99,10 +99,30 @@ def hashed_words(data: bytes, word_bytes: int) -> tuple[np.ndarray, np.ndarray]:
         for j in range(min(word_bytes, int(size.max(initial=0)))):
             live = order[:np.searchsorted(longest, -j, side="left")]
             h[live] += (points[start[live] + j].astype(np.uint64) + np.uint64(1)) * powers[j]
+    return start, _finished(h, size, word_bytes)
+
+
+def _finished(h: np.ndarray, size: np.ndarray, word_bytes: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(32))) * _MIX
         h ^= h >> np.uint64(29)
     h[size > word_bytes] = UNKNOWN
-    return start, h.view(np.int64)
+    return h.view(np.int64)
+
+
+def _hashes(words: pa.StringArray, word_bytes: int) -> np.ndarray:
+    """What ``hashed_words`` gives for lower-cased words, by sums over the bytes of many words at once."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data, powers, out = np.frombuffer(words.buffers()[2], np.uint8), _powers(_BASE, word_bytes), []
+    for i in range(0, len(words), 1 << 16):
+        edge = offsets[i:i + (1 << 16) + 1]
+        start, size = edge[:-1] - edge[0], np.diff(edge)
+        place = np.minimum(np.arange(edge[-1] - edge[0]) - np.repeat(start, size), word_bytes)
+        with np.errstate(over="ignore"):
+            out.append(np.add.reduceat((data[edge[0]:edge[-1]].astype(np.uint64) + np.uint64(1)) * powers[place], start))
+    return _finished(np.concatenate(out), np.diff(offsets), word_bytes)
 
 
 # --- slices of text ---------------------------------------------------------------
@@ -130,9 +150,13 @@ def _sliced(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[pa.RecordBatch]
 
 
 def _slice(batch: pa.RecordBatch, at: int, word_bytes: int) -> Slice:
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
-    of = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
-    coded = pc.list_flatten(words).dictionary_encode()
+    of, words, rows = [], [], 0
+    for own in _sliced(batch, _SPLIT_BYTES):
+        found_words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own.column("text"), "")))
+        of.append(pc.list_parent_indices(found_words).to_numpy(zero_copy_only=False) + rows)
+        words.append(pc.list_flatten(found_words))
+        rows += own.num_rows
+    of, coded = np.concatenate(of), pa.chunked_array(words).dictionary_encode().combine_chunks()
     number, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     empty = pc.index(distinct, "").as_py()  # before and after white space at the ends
     if empty >= 0:
@@ -140,7 +164,7 @@ def _slice(batch: pa.RecordBatch, at: int, word_bytes: int) -> Slice:
         of, number = of[real], number[real]
         number = number - (number > empty)
         distinct = distinct.filter(pc.not_equal(distinct, ""))
-    hashes = np.concatenate((hashed_words(" ".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"), word_bytes)[1], _SPECIAL[:2]))
+    hashes = np.concatenate((_hashes(distinct, word_bytes), _SPECIAL[:2]))
     start, end, n = len(hashes) - 2, len(hashes) - 1, np.bincount(of, minlength=batch.num_rows)
     ends = np.cumsum(n + 3)
     ids = np.full(int(ends[-1]), start, np.int32)
@@ -167,14 +191,18 @@ def _map_slices(docs: DataFrame, schema: str, slice_bytes: int, word_bytes: int,
     return docs.mapInArrow(run, schema)
 
 
-def _places(s: Slice, deal: Deal, other: np.ndarray) -> np.ndarray:
-    """The part of each trigram, over all passes; ``other`` is the word that deals the trigrams of a split v."""
+def _places(s: Slice, deal: Deal, other: np.ndarray, number: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams, the part of each over all passes), of all or the pass ``number``; ``other`` deals the trigrams of a split v."""
     pieces = deal.pieces_of(s.hashes)
-    part = deal.parts_of(s.hashes, np.zeros(len(s.hashes), np.int64))[s.v]
-    cut = np.flatnonzero((pieces > 1)[s.v])
-    v = s.v[cut]
-    part[cut] = deal.parts_of(s.hashes[v], _piece_of(s.hashes[other[cut]], pieces[v]))
-    return part
+    part, split = deal.parts_of(s.hashes, np.zeros(len(s.hashes), np.int64)), pieces > 1
+    at = np.arange(len(s.v)) if number is None else np.flatnonzero(((part % deal.passes == number) | split)[s.v])
+    v = s.v[at]
+    place, cut = part[v], np.flatnonzero(split[v])
+    place[cut] = deal.parts_of(s.hashes[v[cut]], _piece_of(s.hashes[other[at[cut]]], pieces[v[cut]]))
+    if number is None or not len(cut):
+        return at, place
+    mine = place % deal.passes == number
+    return at[mine], place[mine]
 
 
 def _piece_of(u: np.ndarray, pieces: np.ndarray) -> np.ndarray:
@@ -200,11 +228,10 @@ def _packed(docs: DataFrame, deal: Deal, number: int, by_last: bool = False) ->
     """The packed trigrams of the pass ``number``; ``docs`` has text and trusted. A split v is dealt by w instead of u if ``by_last``."""
     def make():
         def work(s: Slice) -> Iterator[dict]:
-            place = _places(s, deal, s.w if by_last else s.u)
-            mine = np.flatnonzero(place % deal.passes == number)
+            mine, place = _places(s, deal, s.w if by_last else s.u, number)
             if not len(mine):
                 return
-            part = place[mine] // deal.passes
+            part = place // deal.passes
             order = np.argsort(part.astype(np.uint16) if deal.parts <= 1 << 16 else part, kind="stable")
             mine, part = mine[order], part[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -276,10 +303,10 @@ def _count(split: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def counts(marked: DataFrame, deal: Deal) -> DataFrame:
+def counts(marked: DataFrame, deal: Deal, passes: int) -> DataFrame:
     """Counts over the trusted rows: kind, words a, b and c, n. Stored."""
     own = marked.filter("trusted")
-    deal = replace(deal, passes=math.ceil(deal.passes / 3))
+    deal = replace(deal, passes=passes)
     parts = (_packed(own, deal, i, True).groupBy("part").applyInArrow(_count(deal.split), _COUNTS) for i in range(deal.passes))
     return reduce(DataFrame.union, [stored(x.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")), free=True) for x in parts])
 
@@ -306,7 +333,7 @@ def uncommon(docs: DataFrame, deal: Deal, model: Broadcast) -> DataFrame:
 
         def work(s: Slice) -> Iterator[dict]:
             rare = ~found(m.common, s.hashes)[1] & ~np.isin(s.hashes, _SPECIAL)
-            place = _places(s, deal, s.u)
+            place = _places(s, deal, s.u)[1]
             ats = [(x, np.flatnonzero(rare[x])) for x in ((s.u, s.v, s.w) if m.unknown else (s.w,))]
             part, w = np.concatenate([place[at] for _, at in ats]), np.concatenate([s.hashes[x[at]] for x, at in ats])
             at = np.unique(mixed(part, w), return_index=True)[1]

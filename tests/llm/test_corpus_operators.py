@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -472,3 +473,10 @@ def test_no_shuffle_carries_all_trigrams(spark, sf_dir):
     passes = [ngram_shards._packed(docs, deal, i).agg(F.sum("size"), F.sum(F.octet_length("grams") + F.octet_length("words") + F.octet_length("of"))).first() for i in range(3)]
     assert sum(n for n, _ in passes) == tokens and max(n for n, _ in passes) < 0.5 * tokens
     assert sum(size for _, size in passes) < 24 * tokens
+
+
+def test_hashes_of_a_slice_are_those_of_the_words():
+    words = ["a", "b" * 64, "c" * 65, "\u00e9\u00c9", "d" * 300, *map(str, range(70_000))]
+    want = ngram_shards.hashed_words(" ".join(words).encode(), 64)[1]
+    assert (ngram_shards._hashes(pa.array(words), 64) == want).all() and not len(ngram_shards._hashes(pa.array([], pa.string()), 64))
+    assert want[2] == want[4] == ngram_shards.UNKNOWN
