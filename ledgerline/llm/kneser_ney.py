@@ -232,6 +232,23 @@ def _common(words: DataFrame, p: KneserNey) -> DataFrame:
     return words.filter((F.col("c") >= least) | (F.col("w") == UNKNOWN)).select("w", "p")
 
 
+def _place(row: str) -> tuple[Column, Column]:
+    """(number of the group of 64 rows that a row is in, as ``at``; the bit that stands for the row there)."""
+    return F.shiftright(row, 6).alias("at"), F.expr(f"shiftleft(1L, cast({row} & 63 AS int))")
+
+
+def _marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """text and trusted of each row, in the order of ``docs``; ``bits`` (at, bits) has a bit for each trusted row.
+
+    The rows keep their places, as ``bits``, with one row for up to 64 of them, is sent to all tasks.
+    """
+    numbered = docs.select("text", F.monotonically_increasing_id().alias("__id"))
+    row = F.shiftleft(F.shiftright("__id", 33), ngram_shards.PLACE_BITS) + F.col("__id").bitwiseAND((1 << 33) - 1)
+    group, bit = _place("__row")
+    found = numbered.select("text", row.alias("__row")).withColumn("at", group).join(F.broadcast(bits.select("at", "bits")), "at", "left")
+    return found.select("text", (F.col("text").isNotNull() & (F.coalesce("bits", F.lit(0)).bitwiseAND(bit) != 0)).alias("trusted"))
+
+
 def perplexities_by_parts(docs: DataFrame, trusted: DataFrame, p: KneserNey = KneserNey()) -> DataFrame:
     """What ``perplexities(docs, train(docs, trusted, p))`` gives, without tables of all trigrams.
 
@@ -240,17 +257,16 @@ def perplexities_by_parts(docs: DataFrame, trusted: DataFrame, p: KneserNey = Kn
     """
     spark = docs.sparkSession
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    ids = stored(trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True)), free=True)
-    small = ids.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows
-    marked = mine.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("text", (F.col("text").isNotNull() & F.col("trusted").isNotNull()).alias("trusted"))
-    if not small:
-        marked = stored(marked, free=True)
+    ids = stored(trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), free=True)
     rows = stored(ngram_shards.documents(mine, p.slice_bytes, p.word_bytes), free=True)
     total = rows.filter("row IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     parts = max(min(2 * shuffle_partitions(spark), 512), -(-total // (p.passes * p.part_words)))
-    deal = ngram_shards.Deal(p.passes, parts, *_heavy(rows, p), p.slice_bytes, p.word_bytes)
+    deal = ngram_shards.Deal(p.passes, parts, *_heavy(rows, p), p.slice_bytes, p.word_bytes, max(1, p.part_words // 4))
 
-    share = (rows.filter("row IS NOT NULL").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0) / max(total, 1)
+    own = rows.filter("row IS NOT NULL").join(sized(ids, p.broadcast_rows), "doc_id", "left_semi")
+    bits = stored(own.groupBy(*_place("row")[:1]).agg(F.bit_or(_place("row")[1]).alias("bits"), F.sum("n").alias("n")), free=True)
+    marked = _marked(docs, bits)
+    share = (bits.agg(F.sum("n")).first()[0] or 0) / max(total, 1)
     table = ngram_shards.counts(marked, deal, max(1, math.ceil(p.passes * share / 2)))  # as nothing is sent back, half the passes do
     sizes = {k: {r.a: r.n for r in table.filter(F.col("kind") == k).groupBy("a").agg(F.sum("n").alias("n")).collect()}
              for k in (ngram_shards.TRI_SIZES, ngram_shards.BI_SIZES)}

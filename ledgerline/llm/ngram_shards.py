@@ -5,13 +5,16 @@ The trigrams (u, v, w) are dealt into parts by their middle word v: the counts o
 of the part. Slices of text send each part one row of packed trigrams, so no trigram is a row.
 Parts are done in several passes over the text, and the shuffle files of a pass go when it ends.
 A middle word of many trigrams has several parts, dealt by u; each gets the word's bigrams.
+Such parts are dealt in turn, and a part is unpacked some trigrams at a time, so that a task
+holds the packed trigrams and the different trusted ones of its part only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from ledgerline.llm.common import arrow_schema
 from ledgerline.sources.shared import stored
 
 START, END, UNKNOWN = 0, 1, 2
+PLACE_BITS = 36  # a row is known by the number of its partition, and its place there in so many bits
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,6 +48,7 @@ class Deal:
     """How trigrams are dealt: ``parts`` parts in each of ``passes`` passes; ``split`` words (sorted hashes) have ``pieces`` parts.
 
     Slices of text have ``slice_bytes`` bytes or one document; words of more than ``word_bytes`` bytes are unknown.
+    About ``chunk`` trigrams of a part are unpacked at once.
     """
 
     passes: int
@@ -52,10 +57,14 @@ class Deal:
     pieces: np.ndarray
     slice_bytes: int
     word_bytes: int
+    chunk: int = 1 << 19
 
     def parts_of(self, v: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """The number, over all passes, of the part of each v (hash) and piece."""
-        return (mixed(v, piece) >> np.uint64(20)).astype(np.int64) % (self.passes * self.parts)
+        """The number, over all passes, of the part of each v (hash) and piece; the pieces of all split words are dealt in turn."""
+        at, hit = found(self.split, v)
+        part = (mixed(v, piece) >> np.uint64(20)).astype(np.int64)
+        part[hit] = (np.cumsum(self.pieces) - self.pieces)[at[hit]] + piece[hit]
+        return part % (self.passes * self.parts)
 
     def pieces_of(self, v: np.ndarray) -> np.ndarray:
         at, hit = found(self.split, v)
@@ -180,7 +189,7 @@ def _map_slices(docs: DataFrame, schema: str, slice_bytes: int, word_bytes: int,
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, work = TaskContext.get().partitionId() << 36, make()
+        at, work = TaskContext.get().partitionId() << PLACE_BITS, make()
         for batch in batches:
             for own in _sliced(batch, slice_bytes):
                 for out in work(_slice(own, at, word_bytes)):
@@ -280,17 +289,43 @@ def _around(u: np.ndarray, v: np.ndarray, split: np.ndarray) -> np.ndarray:
     return (v == UNKNOWN) | ((u == UNKNOWN) & found(split, v)[1])
 
 
-def _count(split: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+def _chunks(slices: pa.Table, chunk: int) -> list[pa.Table]:
+    """``slices`` cut into tables of about ``chunk`` trigrams, or one slice."""
+    ends, out, start = np.cumsum(slices.column("size").to_numpy(), dtype=np.int64), [], 0
+    while start < len(ends):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chunk, side="right"))
+        out.append(slices.slice(start, max(end - start, 1)))
+        start = max(end, start + 1)
+    return out
+
+
+def _tallied(grams: Iterable[tuple[np.ndarray, ...]], chunk: int) -> tuple[np.ndarray, ...]:
+    """(key, u, v, w, count) of the different trigrams among arrays u, v, w and n, by key; no more than these and about as many more are held."""
+    def merged() -> tuple[np.ndarray, ...]:
+        u, v, w, n = (np.concatenate(x) for x in zip(*held))
+        key, at, which = np.unique(mixed(u, v, w), return_index=True, return_inverse=True)
+        return key, u[at], v[at], w[at], np.bincount(which, n, len(key))
+
+    held, new = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)], 0
+    for own in grams:
+        if new and new + len(own[0]) > max(chunk, len(held[0][0])):
+            held, new = [merged()[1:]], 0
+        held.append(own)
+        new += len(own[0])
+    return merged()
+
+
+def _count(deal: Deal) -> Callable[[pa.Table], pa.Table]:
     """Counts of a part's trigrams, in which bigrams are whole."""
-    schema = arrow_schema(_COUNTS)
+    schema, split = arrow_schema(_COUNTS), deal.split
+
+    def grams(slices: pa.Table) -> tuple[np.ndarray, ...]:
+        found_grams = [np.frombuffer(r["words"], np.int64)[_numbers(r["grams"], 3 * r["size"]).reshape(3, -1)] for r in slices.to_pylist()]
+        u, v, w = np.concatenate(found_grams, axis=1)
+        return u, v, w, np.ones(len(u))
 
     def run(part: pa.Table) -> pa.Table:
-        grams = []
-        for r in part.select(["size", "words", "grams"]).to_pylist():
-            grams.append(np.frombuffer(r["words"], np.int64)[_numbers(r["grams"], 3 * r["size"]).reshape(3, -1)])
-        u, v, w = np.concatenate(grams, axis=1)
-        _, at, c = np.unique(mixed(u, v, w), return_index=True, return_counts=True)
-        u, v, w = u[at], v[at], w[at]
+        _, u, v, w, c = _tallied(map(grams, _chunks(part.select(["size", "words", "grams"]), deal.chunk)), deal.chunk)
         around = np.flatnonzero(_around(u, v, split))
         _, at, c2 = np.unique(mixed(v, w), return_index=True, return_counts=True)
         last, n = np.unique(w[at], return_counts=True)
@@ -307,7 +342,7 @@ def counts(marked: DataFrame, deal: Deal, passes: int) -> DataFrame:
     """Counts over the trusted rows: kind, words a, b and c, n. Stored."""
     own = marked.filter("trusted")
     deal = replace(deal, passes=passes)
-    parts = (_packed(own, deal, i, True).groupBy("part").applyInArrow(_count(deal.split), _COUNTS) for i in range(deal.passes))
+    parts = (_packed(own, deal, i, True).groupBy("part").applyInArrow(_count(deal), _COUNTS) for i in range(deal.passes))
     return reduce(DataFrame.union, [stored(x.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")), free=True) for x in parts])
 
 
@@ -364,9 +399,9 @@ def _off(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(c, 3).astype(np.int64)]
 
 
-def _score(split: np.ndarray, model: Broadcast) -> Callable[[pa.Table], pa.Table]:
+def _score(deal: Deal, model: Broadcast) -> Callable[[pa.Table], pa.Table]:
     """Sums of logs by slice and row of a part's trigrams."""
-    schema = arrow_schema(_SCORES)
+    schema, split = arrow_schema(_SCORES), deal.split
 
     def run(part: pa.Table) -> pa.Table:
         m = model.value
@@ -374,30 +409,33 @@ def _score(split: np.ndarray, model: Broadcast) -> Callable[[pa.Table], pa.Table
         column = lambda k, name: rows[k].column(name).to_numpy()
         order = np.argsort(column(WORD, "w"))
         rare, rare_p = column(WORD, "w")[order], column(WORD, "n")[order]
-
-        grams, last, own, slices = [], [], [], rows[GRAMS].select(["at", "size", "words", "grams", "of", "trusted"]).to_pylist()
-        for r in slices:
-            words, places = np.frombuffer(r["words"], np.int64), _numbers(r["grams"], 3 * r["size"]).reshape(3, -1)
-            (at, hit), (rare_at, rare_hit) = found(m.common, words), found(rare, words)
-            p = np.full(len(words), m.rest)
-            p[hit], p[rare_hit] = m.p[at[hit]], rare_p[rare_at[rare_hit]]
-            if m.unknown:
-                new = ~(hit | rare_hit | np.isin(words, _SPECIAL))
-                words, p = np.where(new, UNKNOWN, words), np.where(new, m.p[np.searchsorted(m.common, UNKNOWN)], p)
-            grams.append(words[places])
-            last.append(p[places[2]])
-            own.append(np.unpackbits(np.frombuffer(r["trusted"], np.uint8), count=r["size"]).astype(bool))
-        if not slices:
+        chunks = _chunks(rows[GRAMS].select(["at", "size", "words", "grams", "of", "trusted"]), deal.chunk)
+        if not chunks:
             return schema.empty_table()
-        (u, v, w), last, own = np.concatenate(grams, axis=1), np.concatenate(last), np.concatenate(own)
-        k3, k2, k = mixed(u, v, w), mixed(u, v), mixed(v, w)
-
-        at = np.flatnonzero(own & ~_around(u, v, split))
-        around = column(AROUND, "u"), column(AROUND, "v"), column(AROUND, "w")
-        tu, tv, tw = (np.concatenate((x[at], y)) for x, y in zip((u, v, w), around))
-        tri, at, which = np.unique(mixed(tu, tv, tw), return_index=True, return_inverse=True)
-        c3 = np.bincount(which, np.concatenate((np.ones(len(which) - rows[AROUND].num_rows), column(AROUND, "n"))), len(tri))
-        tu, tv, tw = tu[at], tv[at], tw[at]
+
+        @lru_cache(1)  # a part of one chunk is unpacked once
+        def unpacked(number: int) -> tuple:
+            grams, last, own, slices = [], [], [], chunks[number].to_pylist()
+            for r in slices:
+                words, places = np.frombuffer(r["words"], np.int64), _numbers(r["grams"], 3 * r["size"]).reshape(3, -1)
+                (at, hit), (rare_at, rare_hit) = found(m.common, words), found(rare, words)
+                p = np.full(len(words), m.rest)
+                p[hit], p[rare_hit] = m.p[at[hit]], rare_p[rare_at[rare_hit]]
+                if m.unknown:
+                    new = ~(hit | rare_hit | np.isin(words, _SPECIAL))
+                    words, p = np.where(new, UNKNOWN, words), np.where(new, m.p[np.searchsorted(m.common, UNKNOWN)], p)
+                grams.append(words[places])
+                last.append(p[places[2]])
+                own.append(np.unpackbits(np.frombuffer(r["trusted"], np.uint8), count=r["size"]).astype(bool))
+            return slices, *np.concatenate(grams, axis=1), np.concatenate(last), np.concatenate(own)
+
+        def trusted(number: int) -> tuple[np.ndarray, ...]:
+            _, u, v, w, _, own = unpacked(number)
+            at = np.flatnonzero(own & ~_around(u, v, split))
+            return u[at], v[at], w[at], np.ones(len(at))
+
+        around = tuple(column(AROUND, x) for x in "uvwn")
+        tri, tu, tv, tw, c3 = _tallied(chain(map(trusted, range(len(chunks))), [around]), deal.chunk)
         context, which = np.unique(mixed(tu, tv), return_inverse=True)
         total3, off3 = np.bincount(which, c3, len(context)), np.bincount(which, _off(m.trigrams, c3), len(context))
 
@@ -409,6 +447,7 @@ def _score(split: np.ndarray, model: Broadcast) -> Callable[[pa.Table], pa.Table
         bv, c2 = bv[at], c2[at]
         middle, which = np.unique(bv, return_inverse=True)
         total2, off2 = np.bincount(which, c2, len(middle)), np.bincount(which, _off(m.bigrams, c2), len(middle))
+        del tu, tv, tw, bv, which
 
         def level(lower: np.ndarray, keys, c, d, x, contexts, total, off, context_x) -> np.ndarray:
             out, (at, hit) = lower.copy(), found(contexts, context_x)
@@ -416,20 +455,23 @@ def _score(split: np.ndarray, model: Broadcast) -> Callable[[pa.Table], pa.Table
             out[hit] *= off[at] / total[at]
             n, there = found(keys, x)
             own = np.zeros(len(x))
-            own[there] = (c - _off(d, c))[n[there]]
+            own[there] = c[n[there]] - _off(d, c[n[there]])
             out[hit] += own[hit] / total[at]
             return out
 
-        p = level(last, bi, c2, m.bigrams, k, middle, total2, off2, v)
-        log = np.log(level(p, tri, c3, m.trigrams, k3, context, total3, off3, k2))
-        out, start = [], 0
-        for r in slices:
-            of = _numbers(r["of"], r["size"])
-            n = np.bincount(of)
-            there = np.flatnonzero(n)
-            total = np.bincount(of, log[start:start + r["size"]])[there]
-            start += r["size"]
-            out.append((r["at"], there.astype(np.uint32).tobytes(), total.tobytes(), n[there].astype(np.uint32).tobytes()))
+        out = []
+        for number in range(len(chunks)):
+            slices, u, v, w, last, _ = unpacked(number)
+            p = level(last, bi, c2, m.bigrams, mixed(v, w), middle, total2, off2, v)
+            log = np.log(level(p, tri, c3, m.trigrams, mixed(u, v, w), context, total3, off3, mixed(u, v)))
+            start = 0
+            for r in slices:
+                of = _numbers(r["of"], r["size"])
+                n = np.bincount(of)
+                there = np.flatnonzero(n)
+                total = np.bincount(of, log[start:start + r["size"]])[there]
+                start += r["size"]
+                out.append((r["at"], there.astype(np.uint32).tobytes(), total.tobytes(), n[there].astype(np.uint32).tobytes()))
         return _table(schema, list(zip(*out)))
 
     return run
@@ -458,6 +500,6 @@ def scored(marked: DataFrame, table: DataFrame, words: DataFrame, deal: Deal, mo
         if model.value.unknown:
             each = around.crossJoin(F.broadcast(spark.range(deal.parts).select(F.col("id").cast("int").alias("part"))))
             rows = rows.unionByName(each.withColumn("kind", F.lit(AROUND)), allowMissingColumns=True)
-        sums = rows.groupBy("part").applyInArrow(_score(deal.split, model), _SCORES).groupBy("at").applyInArrow(_sum, "row long, total double, n long")
+        sums = rows.groupBy("part").applyInArrow(_score(deal, model), _SCORES).groupBy("at").applyInArrow(_sum, "row long, total double, n long")
         passes.append(stored(sums, free=True))
     return reduce(DataFrame.union, passes).groupBy("row").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -480,3 +480,40 @@ def test_hashes_of_a_slice_are_those_of_the_words():
     want = ngram_shards.hashed_words(" ".join(words).encode(), 64)[1]
     assert (ngram_shards._hashes(pa.array(words), 64) == want).all() and not len(ngram_shards._hashes(pa.array([], pa.string()), 64))
     assert want[2] == want[4] == ngram_shards.UNKNOWN
+
+
+def test_more_trusted_ids_than_are_sent_to_all_tasks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i % 190, ("en", "de")[i % 2], " ".join(f"w{x}" for x in rng.integers(0, 40, i % 23)) if i % 17 else None) for i in range(200)]
+    for part in range(4):  # files of different sizes, which Spark does not read in the order of their names
+        spark.createDataFrame(rows[part ** 2 * 10:(part + 1) ** 2 * 10 if part < 3 else None], "doc_id long, lang string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    trusted = docs.select("doc_id").filter("doc_id % 3 <> 0").union(docs.select(F.lit(None).cast("long")))
+    few = kneser_ney.KneserNey(broadcast_rows=10)
+    key = lambda r: (r.doc_id, r.n_tokens, r.perplexity)
+    want = sorted(kneser_ney.perplexities(docs, kneser_ney.train(docs, trusted)).collect(), key=key)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(kneser_ney.perplexities_by_parts(docs, trusted, few).collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(want) == 200
+    for a, b in zip(got, want):
+        assert (a.doc_id, a.lang, a.n_tokens) == (b.doc_id, b.lang, b.n_tokens) and math.isclose(a.perplexity, b.perplexity, rel_tol=1e-9)
+
+
+def test_pieces_of_split_words_are_dealt_in_turn():
+    deal = ngram_shards.Deal(3, 5, np.arange(10, 20), np.full(10, 3), 1 << 20, 64)
+    parts = deal.parts_of(np.repeat(np.arange(10, 20), 3), np.tile(np.arange(3), 10))
+    assert np.bincount(parts, minlength=15).tolist() == [2] * 15
+
+
+def test_counts_of_trigrams_chunk_by_chunk():
+    rng = np.random.default_rng(3)
+    u, v, w = rng.integers(5, 12, (3, 5000))
+    cut = [(u[i:i + 70], v[i:i + 70], w[i:i + 70], np.ones(len(u[i:i + 70]))) for i in range(0, 5000, 70)]
+    whole, pieces = (ngram_shards._tallied(x, 300) for x in ([(u, v, w, np.ones(5000))], cut))
+    assert all((a == b).all() for a, b in zip(whole, pieces)) and whole[4].sum() == 5000
+    want = Counter(zip(u.tolist(), v.tolist(), w.tolist()))
+    assert want == dict(zip(zip(*(x.tolist() for x in whole[1:4])), whole[4]))
