@@ -3,7 +3,9 @@
 A Gaussian kernel is the mean product of random cosine features, so a linear machine on
 these stands for one with the kernel. Margins become probabilities by a sigmoid that is
 fitted to the margins of rows that the machine has not seen. The machines that leave out a
-fold each and that of all rows are fitted in the same passes over blocks of rows.
+fold each and that of all rows are fitted in the same passes over blocks of rows. The blocks
+are kept with the features as given; the cosines, which are many times as large, are made of
+one block at a time in each pass.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 FEATURES, LABEL, WEIGHT, FOLD = "features", "__label", "__weight", "fold"
 MARGIN = "__margin"
 CELLS_A_TASK = 2_500_000  # rows times features; fewer are not worth a task of their own
+BLOCK_ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -35,12 +39,15 @@ class Fourier:
 
     def frame(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Projections (width x components) and phases; the same wherever they are made."""
-        rng = np.random.default_rng(self.seed)
-        return rng.normal(0, math.sqrt(2 * self.gamma), (width, self.components)), rng.uniform(0, 2 * math.pi, self.components)
+        return _frame(self, width)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         w, phase = self.frame(x.shape[1])
-        return math.sqrt(2 / self.components) * np.cos(x @ w + phase)
+        out = x @ w
+        out += phase
+        np.cos(out, out=out)
+        out *= math.sqrt(2 / self.components)
+        return out
 
     def apply(self, df: DataFrame) -> DataFrame:
         """``df`` with the features replaced."""
@@ -53,6 +60,12 @@ class Fourier:
         return df.withColumn(FEATURES, array_to_vector(features(vector_to_array(FEATURES))))
 
 
+@lru_cache(8)
+def _frame(fourier: Fourier, width: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(fourier.seed)
+    return rng.normal(0, math.sqrt(2 * fourier.gamma), (width, fourier.components)), rng.uniform(0, 2 * math.pi, fourier.components)
+
+
 def scale_gamma(df: DataFrame) -> float:
     """1 / (number of features x variance of all their values), as one aggregate."""
     x = vector_to_array(FEATURES)
@@ -123,29 +136,34 @@ def _newton(sums: Callable[[float, float], Sequence[float]], pos: int, neg: int,
 
 @dataclass
 class Block:
-    """Some rows: features, labels as -1 and 1, weights, folds."""
+    """Some rows: features as given, labels as -1 and 1, weights, folds."""
 
-    x: np.ndarray
+    given: np.ndarray
     y: np.ndarray
     weight: np.ndarray
     fold: np.ndarray
+    fourier: Fourier | None = None
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        """The features of the machine; they last as long as a pass has the block."""
+        return self.fourier.project(self.given) if self.fourier else self.given
 
 
 def _blocks(df: DataFrame, fourier: Fourier | None, tasks: int) -> RDD:
-    """The rows as blocks, kept by the executors."""
+    """The rows as blocks of up to ``BLOCK_ROWS``, kept by the executors; the kernel's features are not in them."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            x = fourier.project(x) if fourier else x
-            y, weight, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            parts = [np.ascontiguousarray(v) for v in (x, np.where(y == 1, 1.0, -1.0), weight, fold)]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in parts], names=["x", "y", "weight", "fold"])
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                own = batch.slice(start, BLOCK_ROWS)
+                x = own.column(0).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+                y, weight, fold = (own.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                parts = [np.ascontiguousarray(v) for v in (x, np.where(y == 1, 1.0, -1.0), weight, fold)]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in parts], names=["x", "y", "weight", "fold"])
 
     def block(row) -> Block:
         y, weight, fold = np.frombuffer(row.y), np.frombuffer(row.weight), np.frombuffer(row.fold, np.int64)
-        return Block(np.frombuffer(row.x).reshape(len(y), -1), y, weight, fold)
+        return Block(np.frombuffer(row.x).reshape(len(y), -1), y, weight, fold, fourier)
 
     few = df.select(vector_to_array(FEATURES), LABEL, F.col(WEIGHT).cast("double"), F.col(FOLD).cast("long")).coalesce(tasks)
     return few.mapInArrow(pack, "x binary, y binary, weight binary, fold binary").rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
@@ -297,8 +315,8 @@ class SVMModel:
         def margin(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=float)
-            rows = np.stack(x.to_numpy())
-            return pd.Series((fourier.project(rows) if fourier else rows) @ machine.coefficients + machine.intercept)
+            cut = [np.stack(x.to_numpy()[at:at + BLOCK_ROWS]) for at in range(0, len(x), BLOCK_ROWS)]
+            return pd.Series(np.concatenate([(fourier.project(rows) if fourier else rows) @ machine.coefficients + machine.intercept for rows in cut]))
 
         return df.withColumn(MARGIN, margin(vector_to_array(FEATURES)))
 

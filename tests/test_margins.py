@@ -130,3 +130,17 @@ def test_search_by_prefixes_equals_single_fits(spark, name, key):
 
     assert results[json.dumps(params), 0, "roc_auc"] == pytest.approx(alone.roc_auc, abs=1e-6)
     assert len(md.prefix_groups(name, md.grid_points(name))) == 12
+
+
+def test_blocks_keep_the_features_as_given(spark):
+    x = np.random.default_rng(4).normal(0, 1, (5000, 3))
+    rows = [(r.tolist(), float(i % 2), 1.0, i % 3) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"a array<double>, {mg.LABEL} double, {mg.WEIGHT} double, fold int").withColumn(mg.FEATURES, array_to_vector("a")).coalesce(1)
+    fourier = mg.Fourier(0.3, 256, 7)
+    blocks = mg._blocks(df, fourier, 1)
+    sizes = blocks.map(lambda b: (len(b.y), sum(v.nbytes for v in vars(b).values() if isinstance(v, np.ndarray)))).collect()
+    assert sum(n for n, _ in sizes) == 5000
+    assert max(n for n, _ in sizes) <= 2048 and all(size == n * 8 * (3 + 3) for n, size in sizes)  # 256 cosines a row are not kept
+    made = np.concatenate(blocks.map(lambda b: b.x).collect())
+    assert np.allclose(made, fourier.project(x))
+    blocks.unpersist()
