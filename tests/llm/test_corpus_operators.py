@@ -517,3 +517,43 @@ def test_counts_of_trigrams_chunk_by_chunk():
     assert all((a == b).all() for a, b in zip(whole, pieces)) and whole[4].sum() == 5000
     want = Counter(zip(u.tolist(), v.tolist(), w.tolist()))
     assert want == dict(zip(zip(*(x.tolist() for x in whole[1:4])), whole[4]))
+
+
+def test_alike_is_what_the_alignment_says():
+    rng = random.Random(1)
+    found = Counter()
+    for _ in range(3000):
+        size, words, least = rng.randint(0, 60), rng.choice([2, 5, 30, 1000]), rng.choice([0.6, 0.8, 0.9])
+        one = [str(rng.randrange(words)) for _ in range(size)]
+        other = list(one)
+        for _ in range(rng.randint(0, max(1, size // 3))):
+            at, way = rng.randint(0, len(other)), rng.random()
+            other[at:at + (way < 0.6)] = [] if way < 0.3 else [str(rng.randrange(words))]
+        if rng.random() < 0.1:
+            other = other[size // 2:] + other[:size // 2]
+        a, b = " ".join(one), " ".join(other)
+        want = order_minhash.word_similarity(a, b, least) >= least
+        assert order_minhash.alike(a, b, least) == want
+        found[want] += 1
+    assert min(found.values()) > 300
+
+
+def test_near_copies_are_mostly_settled_without_alignment(monkeypatch):
+    rng, aligned = random.Random(2), []
+    real = order_minhash.banded_distance
+    monkeypatch.setattr(order_minhash, "banded_distance", lambda *x: aligned.append(x) or real(*x))
+    for _ in range(100):
+        one = [f"w{rng.randrange(300)}" for _ in range(400)]
+        other = [w for w in one if rng.random() > 0.03]
+        other[20:21] = ["new", "words"]
+        assert order_minhash.alike(" ".join(one), " ".join(other), 0.8)
+    assert len(aligned) < 20
+
+
+def test_remembered_texts_stay_few():
+    order_minhash._recent.clear()
+    order_minhash._held = 0
+    for i in range(600):
+        order_minhash._words_and_pairs(" ".join(f"{i}x{j}" for j in range(10_000 if i > 400 else 5)))
+        assert order_minhash._held == sum(len(v[0]) for v in order_minhash._recent.values())
+    assert len(order_minhash._recent) <= 256 and order_minhash._held <= order_minhash._RECENT_WORDS
